@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from weft.llm import licenses as lic
 from weft.llm.decontaminate import LOWER, UPPER, decontaminate
 from weft.llm.mixing import mix_sources
+from weft.llm.quality import repetition
+from weft.llm.tokenstore import store_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +71,26 @@ docs AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM document
 SELECT doc_id, digest, license FROM docs LEFT JOIN known ON digest = k
 """
 
+def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = repetition(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op8_license_scan": op8_license_scan,
+    "op9_repetition_rules": op9_repetition_rules,
+    "op10_token_store": op10_token_store,
 }
 ORACLE = {"op1_decontaminate": OP1_SQL, "op8_license_scan": OP8_SQL}
