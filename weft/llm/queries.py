@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import licenses as lic
+from weft.llm import warc
 from weft.llm.decontaminate import LOWER, UPPER, decontaminate
 from weft.llm.mixing import mix_sources
 from weft.llm.quality import repetition
@@ -86,7 +87,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.archive_and_assemble(table(spark, sf_dir, "pages"), payloads=False)
+    field = lambda name: F.try_element_at("metadata.fields", F.lit(name)).cast("long")
+    return got.select(field("page-id").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.kind").alias("record_type"), field("refers-to-page").alias("refers_to"))
+
+
 QUERIES = {
+    "op2_warc_captures": op2_warc_captures,
     "op1_decontaminate": op1_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op8_license_scan": op8_license_scan,
