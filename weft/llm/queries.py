@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import licenses as lic
 from weft.llm import warc
 from weft.llm.decontaminate import LOWER, UPPER, decontaminate
+from weft.llm.language import identify, train
 from weft.llm.mixing import mix_sources
 from weft.llm.quality import repetition
 from weft.llm.tokenstore import store_tokens
@@ -93,10 +94,23 @@ def op2_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(field("page-id").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.kind").alias("record_type"), field("refers-to-page").alias("refers_to"))
 
 
+def held_out() -> Column:
+    """Rows that language models must not see."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()), sample_key=F.col("doc_id"))
+    got = identify(docs, model)
+    return got.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op2_warc_captures": op2_warc_captures,
     "op1_decontaminate": op1_decontaminate,
     "op3_mix_sources": op3_mix_sources,
+    "op5_language_id": op5_language_id,
     "op8_license_scan": op8_license_scan,
     "op9_repetition_rules": op9_repetition_rules,
     "op10_token_store": op10_token_store,
