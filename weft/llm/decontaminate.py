@@ -106,7 +106,10 @@ def decontaminate(
     # One marker row per document, and a row per fingerprint that an item has too.
     none = F.lit(-1).cast("long")
     found = F.transform(F.array(*[F.struct(F.lit(s).alias("size"), fingerprints(F.col("words"), s, kk).alias("p")) for s, (kk, _) in parts.items()]), lambda x: F.transform(x["p"], lambda p: F.struct(x["size"].alias("size"), p.alias("p"))))
-    marked = docs.select("id", "row", "words", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("size"), none.alias("p"))), F.flatten(found))).alias("f"))
+    # The fingerprints are a column of their own, so that explode() sees a plain attribute: it is then
+    # compiled together with the join, and the words are read only for rows that the join lets through.
+    marked = docs.withColumn("all", F.concat(F.array(F.struct(F.lit(0).alias("size"), none.alias("p"))), F.flatten(found)))
+    marked = marked.select("id", "row", "words", F.explode_outer("all").alias("f"))  # never empty; the outer form keeps the optimiser from a filter that computes "all" twice
     marked = marked.select("id", "row", "words", F.col("f.size").alias("size"), hash_of(F.col("f.p")).alias("hash"), F.col("f.p").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int").alias("pos"))
     hits = marked.join(near(prints), (F.col("hash") == F.col("f_hash")) & (F.col("size") == F.col("f_size")), "left").where("size = 0 or f_hash is not null")
 

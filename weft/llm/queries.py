@@ -11,7 +11,9 @@ from weft.llm.decontaminate import LOWER, UPPER, decontaminate
 from weft.llm.language import identify, train
 from weft.llm.mixing import mix_sources
 from weft.llm.quality import repetition
+from weft.llm.suffixes import remove_repeated_bytes
 from weft.llm.tokenstore import store_tokens
+from weft.llm.windows import remove_repeated
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +101,31 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def op4_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated(table(spark, sf_dir, "documents"), texts=False)
+
+
+OP4_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spans AS (
+  SELECT r, doc_id, s, md5(array_to_string(w[s:s + 12], ' ')) AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - 11)) AS s FROM docs WHERE len(w) >= 13 AND doc_id IS NOT NULL)),
+least_ids AS (SELECT gram, min(doc_id) AS least FROM spans GROUP BY gram),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 13)) AS p FROM spans JOIN least_ids USING (gram) WHERE least < doc_id),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM docs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r),
+counts AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r) LEFT JOIN counts USING (r)
+"""
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = remove_repeated_bytes(table(spark, sf_dir, "documents"), texts=False)
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()), sample_key=F.col("doc_id"))
@@ -110,9 +137,11 @@ QUERIES = {
     "op2_warc_captures": op2_warc_captures,
     "op1_decontaminate": op1_decontaminate,
     "op3_mix_sources": op3_mix_sources,
+    "op4_doubling_dedup": op4_doubling_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op8_license_scan": op8_license_scan,
     "op9_repetition_rules": op9_repetition_rules,
     "op10_token_store": op10_token_store,
 }
-ORACLE = {"op1_decontaminate": OP1_SQL, "op8_license_scan": OP8_SQL}
+ORACLE = {"op4_doubling_dedup": OP4_SQL, "op1_decontaminate": OP1_SQL, "op8_license_scan": OP8_SQL}
