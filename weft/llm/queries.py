@@ -10,6 +10,7 @@ from weft.llm import warc
 from weft.llm.decontaminate import LOWER, UPPER, decontaminate
 from weft.llm.language import identify, train
 from weft.llm.mixing import mix_sources
+from weft.llm.nearjoin import near_duplicates
 from weft.llm.quality import repetition
 from weft.llm.suffixes import remove_repeated_bytes
 from weft.llm.tokenstore import store_tokens
@@ -121,6 +122,10 @@ FROM docs LEFT JOIN kept USING (r) LEFT JOIN counts USING (r)
 """
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = remove_repeated_bytes(table(spark, sf_dir, "documents"), texts=False)
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -138,6 +143,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op4_doubling_dedup": op4_doubling_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op8_license_scan": op8_license_scan,
