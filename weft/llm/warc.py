@@ -36,6 +36,7 @@ from weft.shared import fresh_path, materialise
 #: Compressed bytes from which an archive is closed, and records in a batch of rows read.
 ARCHIVE_BYTES = 32 << 20
 BATCH_RECORDS = 500
+PIECE = 1 << 13
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -56,11 +57,15 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     view = memoryview(data)
     at = 0
     while at < len(view):
-        z = zlib.decompressobj(31)
-        raw = z.decompress(view[at:])
-        if not z.eof:
-            raise ValueError("archive is cut short")
-        at = len(view) - len(z.unused_data)
+        # Members are inflated piece by piece: what follows a member is copied once, not once a member.
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("archive is cut short")
+            parts.append(z.decompress(view[at : at + PIECE]))
+            at += min(PIECE, len(view) - at)
+        at -= len(z.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -184,7 +189,7 @@ def assemble(rows: DataFrame) -> DataFrame:
     """
     links = rows.where("concurrent_to is not null").select(F.col("record_id").alias("via"), F.col("concurrent_to").alias("root"))
     main = F.col("kind").isin("response", "revisit")
-    named = rows.join(links, rows.concurrent_to == links.via, "left")
+    named = rows.join(links.hint("merge"), rows.concurrent_to == links.via, "left")  # grows with the archives: never broadcast
     key = F.when(main, F.col("record_id")).otherwise(F.coalesce("root", "concurrent_to"))
     parts = [c for c in rows.columns]
     whole = F.struct(*parts)
