@@ -40,18 +40,16 @@ def print_array(c: Column) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """64-bit FNV-1a of the UTF-8 bytes, as a signed long."""
-    codes = F.transform(F.split(F.hex(F.encode(text, "utf-8")), "(?<=\\G..)"), lambda h: F.conv(h, 16, 10).cast("long"))
-    # The product is taken in two halves, so that it never overflows a long.
-    prime = 1099511628211
+    codes = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("long"))
+    mask = F.lit(0xFFFFFFFF)
 
     def step(acc, x):
+        """(acc xor x) times the prime, 2**40 + 0x1B3, in halves of 32 bits that never overflow."""
         y = acc.bitwiseXOR(x)
-        low, high = y.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(y, 32)
-        p_low, p_high = prime & 0xFFFFFFFF, prime >> 32
-        a = low.cast("decimal(38,0)") * p_low
-        carried = F.floor(a / F.lit(1 << 32)) + (low * p_high).cast("decimal(38,0)") + (high * p_low).cast("decimal(38,0)")
-        top = F.pmod(carried, F.lit(1 << 32).cast("decimal(38,0)")).cast("long")
-        return F.shiftleft(top, 32).bitwiseOR(F.pmod(a, F.lit(1 << 32).cast("decimal(38,0)")).cast("long"))
+        low, high = y.bitwiseAND(mask), F.shiftrightunsigned(y, 32)
+        t = low * 0x1B3
+        top = (high * 0x1B3 + F.shiftright(t, 32) + F.shiftleft(low, 8).bitwiseAND(mask)).bitwiseAND(mask)
+        return F.shiftleft(top, 32).bitwiseOR(t.bitwiseAND(mask))
 
     start = F.lit(0xCBF29CE484222325 - (1 << 64)).cast("long")
     return F.when(F.length(text) == 0, start).otherwise(F.aggregate(codes, start, step))

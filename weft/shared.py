@@ -35,9 +35,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: rows survive the loss of any executor."""
+    """Reliable checkpoint: rows survive the loss of any executor.
+
+    Columns get new identities, so the result joins with what it was made from.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.checkpoint(eager=True).toDF(*df.columns)
 
 
 def small_enough(df: DataFrame, max_rows: int) -> bool:
