@@ -18,7 +18,7 @@ MIN_HALF, MIN_MASS = 1e-9, 1e-9
 LEVELS = 64
 
 
-def build(points: DataFrame, cap: int = 4) -> tuple[DataFrame, DataFrame]:
+def build(points: DataFrame, cap: int = 4, min_half: float = MIN_HALF) -> tuple[DataFrame, DataFrame]:
     """points(id, x, y, mass) -> (cells, members).
 
     cells: path, cx, cy, half, mass, com_x, com_y, n, is_leaf; members: path,
@@ -39,7 +39,7 @@ def build(points: DataFrame, cap: int = 4) -> tuple[DataFrame, DataFrame]:
         mass = F.sum("mass")
         level = live.groupBy("path", "cx", "cy", "half").agg(mass.alias("mass"), F.sum(F.col("mass") * F.col("x")).alias("mx"), F.sum(F.col("mass") * F.col("y")).alias("my"), F.count(F.lit(1)).alias("n"))
         some = F.abs("mass") > MIN_MASS
-        level = level.select("path", "cx", "cy", "half", "mass", F.when(some, F.col("mx") / F.col("mass")).otherwise(0.0).alias("com_x"), F.when(some, F.col("my") / F.col("mass")).otherwise(0.0).alias("com_y"), "n", ((F.col("n") <= cap) | (F.col("half") <= MIN_HALF)).alias("is_leaf"))
+        level = level.select("path", "cx", "cy", "half", "mass", F.when(some, F.col("mx") / F.col("mass")).otherwise(0.0).alias("com_x"), F.when(some, F.col("my") / F.col("mass")).otherwise(0.0).alias("com_y"), "n", ((F.col("n") <= cap) | (F.col("half") <= min_half)).alias("is_leaf"))
         level = materialise(level)
         cells.append(level)
         marked = live.join(level.select("path", "is_leaf"), "path")
