@@ -41,7 +41,11 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(p.select(F.col("id").alias("dst"), F.col("x").alias("ux"), F.col("y").alias("uy")), "dst")
 
 
-V, U = [F.col("vx"), F.col("vy")], [F.col("ux"), F.col("uy")]
+
+def _ends() -> tuple[list, list]:
+    return [F.col("vx"), F.col("vy")], [F.col("ux"), F.col("uy")]
+
+
 PAIR_SQL = f"WITH {SP_SQL}, {AT_SQL}, q AS (SELECT s AS src, p AS dst, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS r FROM sp JOIN spots a ON a.id = s JOIN spots b ON b.id = p) "
 
 
@@ -50,20 +54,20 @@ def _force(name: str, make, factor: str) -> None:
 
     @query(name, sql)
     def run(spark, sf_dir, make=make):
-        f = make()
+        f = make(*_ends())
         return _pairs(spark, sf_dir).select("src", "dst", whole(f[0]).alias("fx"), whole(f[1]).alias("fy"))
 
 
-_force("kk_force", lambda: forces.spring(V, U, F.lit(2), 10.0), "r / 20.0 - 1.0")
-_force("fine_attraction", lambda: forces.fine_attraction(V, U, 10.0), "r * r / 100.0")
-_force("fine_repulsion", lambda: forces.fine_repulsion(V, U, 9.7), "CASE WHEN r > 1e-9 THEN -4.7045 / (r * r) END")
-_force("fr_attraction", lambda: forces.fr_attraction(V, U, 10.0), "r / 10.0")
-_force("linlog_attraction", lambda: forces.linlog_attraction(V, U), "CASE WHEN r > 1e-9 THEN ln(1 + r) / r END")
+_force("kk_force", lambda v, u: forces.spring(v, u, F.lit(2), 10.0), "r / 20.0 - 1.0")
+_force("fine_attraction", lambda v, u: forces.fine_attraction(v, u, 10.0), "r * r / 100.0")
+_force("fine_repulsion", lambda v, u: forces.fine_repulsion(v, u, 9.7), "CASE WHEN r > 1e-9 THEN -4.7045 / (r * r) END")
+_force("fr_attraction", lambda v, u: forces.fr_attraction(v, u, 10.0), "r / 10.0")
+_force("linlog_attraction", lambda v, u: forces.linlog_attraction(v, u), "CASE WHEN r > 1e-9 THEN ln(1 + r) / r END")
 
 
 @query("fr_repulsion_pairs", PAIR_SQL + "SELECT src, dst, CAST(round(-CASE WHEN r <= 3 THEN 10000.0 ELSE 100.0 / (r - 3) END * dx / r * 10000) AS BIGINT) AS fx, CAST(round(-CASE WHEN r <= 3 THEN 10000.0 ELSE 100.0 / (r - 3) END * dy / r * 10000) AS BIGINT) AS fy FROM q WHERE r > 1e-9")
 def _fr_pairs(spark, sf_dir):
-    f = forces.fr_repulsion(V, U, 10.0, 3.0, 100.0)
+    f = forces.fr_repulsion(*_ends(), 10.0, 3.0, 100.0)
     return _pairs(spark, sf_dir).where("vx <> ux or vy <> uy").select("src", "dst", whole(f[0]).alias("fx"), whole(f[1]).alias("fy"))
 
 
