@@ -192,10 +192,13 @@ def brute_bytes(rows, n):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("n", [200, 20])
-def test_repeated_bytes(spark, n):
-    rows = odd_rows(n) + [(500, "ab" * 300, "s", "x"), (501, "x" * 199, "s", "x"), (502, "y" * 201, "s", "x")]
-    got = remove_repeated_bytes(docs(spark, rows, 4), length=n, texts=False).collect()
+@pytest.mark.parametrize(("n", "hot"), [(200, 4096), (20, 4096), (200, 0), (20, 2)])
+def test_repeated_bytes(spark, n, hot):
+    rng = random.Random(n)
+    passage = " ".join(f"p{rng.randint(0, 99)}" for _ in range(40))
+    shared = [(600 + k, f"{'q' * (k % 7)}{rng.randint(0, 9)} {passage} {rng.randint(0, 9)}", "s", "x") for k in range(30)]
+    rows = shared + odd_rows(n) + [(500, "ab" * 300, "s", "x"), (501, "x" * 199, "s", "x"), (502, "y" * 201, "s", "x")]
+    got = remove_repeated_bytes(docs(spark, rows, 4), length=n, texts=False, hot=hot).collect()
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got], key=str) == brute_bytes(rows, n)
 
 

@@ -6,7 +6,9 @@ Splitters sampled from their leading bytes range-partition them, and equal
 leads always meet in one bucket, so no comparison has to cross a boundary.
 First, leads that occur once are dropped.  For the rest each block sends the
 bytes around the lead that its strings cover; a bucket orders these by lead
-and fingerprint of the whole ``length`` bytes and compares neighbours.
+and fingerprint of the whole ``length`` bytes and compares neighbours.  A lead
+with more than ``hot`` different surroundings would load one bucket with all of
+them; the fingerprints of its strings are spread over buckets of their own.
 
 Defined results: a null text is empty; texts shorter than ``length`` bytes
 lose nothing; a string that repeats inside one text counts as repeated, with
@@ -32,6 +34,8 @@ from weft.llm import textops as tx
 LENGTH, LEAD = 200, 64
 #: Blocks sampled for splitters, and keys taken of each.
 SAMPLE_BLOCKS, SAMPLE_KEYS = 64, 512
+#: Different surroundings of a lead from which its strings are spread.
+HOT = 4096
 _U = np.uint64
 
 
@@ -86,11 +90,23 @@ class _Block:
         self.kind = np.cumsum(new) - 1
         self.heads = np.flatnonzero(new)
 
-    def survivors(self, replies: dict[int, bytes]) -> np.ndarray:
-        """Runs whose lead repeats, here or in another block."""
+    def loads(self, length: int) -> np.ndarray:
+        """Different surroundings of each lead, up to 255."""
+        runs = np.bincount(self.kind, minlength=len(self.heads))
+        out = np.minimum(runs, 1)
+        several = np.flatnonzero(runs[self.kind] > 1)
+        if len(several):
+            distinct, _, _ = self.contexts(several, length)
+            out = np.maximum(out, np.bincount(self.kind[distinct], minlength=len(self.heads)))
+        return np.minimum(out, 255).astype(np.uint8)
+
+    def survivors(self, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(runs whose lead repeats, here or in another block; of all runs, those with a hot lead)."""
         here = np.bincount(self.kind, minlength=len(self.heads)) > 1
-        alive = here | bl.bits_of(replies, self.bucket[self.heads])
-        return np.flatnonzero(alive[self.kind])
+        buckets = self.bucket[self.heads]
+        alive = here | bl.bits_of(replies, buckets)
+        hot = bl.bits_of({b: d[len(d) // 2 :] for b, d in replies.items()}, buckets)
+        return np.flatnonzero(alive[self.kind]), hot[self.kind]
 
     def contexts(self, alive: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         """(run that stands for each distinct context, is it repeated here, context of each alive run)."""
@@ -107,6 +123,8 @@ class _Block:
         return alive[order[np.flatnonzero(new)]], many, place
 
 
+#: First byte of what a bucket gets: fingerprints of strings, or leads with their surroundings.
+_SPREAD, _AROUND = b"\x01", b"\x00"
 _HEAD = np.dtype([("lead", "<u8"), ("n", "<u4"), ("many", "u1")])
 
 
@@ -116,8 +134,55 @@ def _gather(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return buf[np.repeat(starts - (total - lengths), lengths) + np.arange(n)]
 
 
+def _leads(hot: int):
+    def resolve(data: list[bytes]) -> list[bytes | None]:
+        """For arrays of distinct leads and their loads: which are in another array too, and which are hot."""
+        sizes = [len(d) // 9 for d in data]
+        every = np.concatenate([np.frombuffer(d, _U, count=n) for d, n in zip(data, sizes, strict=True)])
+        load = np.concatenate([np.frombuffer(d, np.uint8, offset=8 * n) for d, n in zip(data, sizes, strict=True)])
+        _, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
+        many = counts > 1
+        heavy = many & (np.bincount(inverse, weights=load) > hot)
+        out: list[bytes | None] = []
+        at = 0
+        for n in sizes:
+            part = inverse[at : at + n]
+            hit = many[part]
+            out.append(np.packbits(hit).tobytes() + np.packbits(heavy[part]).tobytes() if hit.any() else None)
+            at += n
+        return out
+
+    return resolve
+
+
+def _strings(buf: np.ndarray, lead: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprints of the strings of runs: count of them from first on, each with its lead."""
+    p = tx.prefix(buf.astype(_U) + _U(1))
+    _, down = tx.powers(len(p))
+    upto = np.cumsum(count)
+    total = int(upto[-1]) if len(upto) else 0
+    at = np.repeat(first - (upto - count), count) + np.arange(total)
+    return tx.mix((p[at + length] - p[at]) * down[at] ^ np.repeat(lead, count))
+
+
+class _Spread:
+    """Distinct strings of a block's runs with a hot lead, in order of fingerprint, and their buckets."""
+
+    def __init__(self, block: _Block, runs: np.ndarray, many: np.ndarray, length: int, n: int):
+        """Buckets follow the n of the leads."""
+        count = (block.last - block.first + 1)[runs]
+        h = _strings(block.bytes(), block.lead[runs], block.first[runs], count, length) if len(runs) else np.zeros(0, _U)
+        self.kinds, self.inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+        twice = np.bincount(self.inverse, weights=np.repeat(many, count), minlength=len(self.kinds)) > 0
+        self.here = (times > 1) | twice
+        self.buckets = n + ((self.kinds >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
+
+
 def _compare(length: int):
     def resolve(data: list[bytes]) -> list[bytes | None]:
+        if data[0][:1] == _SPREAD:
+            return bl.in_many([d[1:] for d in data])
+        data = [d[1:] for d in data]
         z = zstandard.ZstdDecompressor()
         heads, bodies = [], []
         for d in data:
@@ -130,10 +195,7 @@ def _compare(length: int):
         stop = np.cumsum(size)
         strings = size - length + 1  # in each context
         upto = np.cumsum(strings)
-        p = tx.prefix(buf.astype(_U) + _U(1))
-        at = np.repeat((stop - size) - (upto - strings), strings) + np.arange(int(upto[-1]))
-        _, down = tx.powers(len(p))
-        h = tx.mix((p[at + length] - p[at]) * down[at] ^ np.repeat(head["lead"], strings))
+        h = _strings(buf, head["lead"], stop - size, strings, length)
         many, _ = tx.repeated(h)
         many |= np.repeat(head["many"].astype(bool), strings)
         out: list[bytes | None] = []
@@ -148,7 +210,7 @@ def _compare(length: int):
     return resolve
 
 
-def remove_repeated_bytes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, texts: bool = True) -> DataFrame:
+def remove_repeated_bytes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, texts: bool = True, hot: int = HOT) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, spans (start, stop), kept_sha256 and, if asked for, kept."""
     lead = min(LEAD, max(8, length // 2))
     if length < 16:
@@ -164,28 +226,38 @@ def remove_repeated_bytes(documents: DataFrame, *, id_col: str = "doc_id", text_
 
     def ask(table: pa.Table, _: list) -> Iterator[tuple[int, bytes]]:
         block = load(table)
-        kinds, buckets = block.lead[block.heads], block.bucket[block.heads]
+        kinds, buckets, loads = block.lead[block.heads], block.bucket[block.heads], block.loads(length)
         for b, i, j in bl.split(buckets):
-            yield b, kinds[i:j].tobytes()
+            yield b, kinds[i:j].tobytes() + loads[i:j].tobytes()
 
     def ask_again(table: pa.Table, replies: list) -> Iterator[tuple[int, bytes]]:
         block = load(table)
-        alive = block.survivors(replies[0])
+        alive, heavy = block.survivors(replies[0])
         runs, many, _ = block.contexts(alive, length)
+        spread = _Spread(block, runs[heavy[runs]], many[heavy[runs]], length, n)
+        for b, i, j in bl.split(spread.buckets):
+            yield b, _SPREAD + spread.kinds[i:j].tobytes()
+        runs, many = runs[~heavy[runs]], many[~heavy[runs]]
         buf, z = block.bytes(), zstandard.ZstdCompressor(level=1)
         for b, i, j in bl.split(block.bucket[runs]):
             own = runs[i:j]
             head = np.empty(j - i, _HEAD)
             sizes = block.last[own] + length - block.first[own]
             head["lead"], head["n"], head["many"] = block.lead[own], sizes, many[i:j]
-            yield b, z.compress((j - i).to_bytes(4, "little") + head.tobytes() + _gather(buf, block.first[own], sizes).tobytes())
+            yield b, _AROUND + z.compress((j - i).to_bytes(4, "little") + head.tobytes() + _gather(buf, block.first[own], sizes).tobytes())
 
     def cut(table: pa.Table, replies: list) -> pa.RecordBatch:
         block = load(table)
-        alive = block.survivors(replies[0])
+        alive, heavy = block.survivors(replies[0])
         runs, many, place = block.contexts(alive, length)
         strings = (block.last - block.first + 1)[runs]
-        found = bl.bits_of(replies[1], np.repeat(block.bucket[runs], strings)) | np.repeat(many, strings)
+        found = np.repeat(many, strings)
+        hot_runs = heavy[runs]
+        mild = ~np.repeat(hot_runs, strings)
+        found[mild] |= bl.bits_of(replies[1], np.repeat(block.bucket[runs], strings)[mild])
+        if hot_runs.any():
+            spread = _Spread(block, runs[hot_runs], many[hot_runs], length, n)
+            found[~mild] |= (spread.here | bl.bits_of(replies[1], spread.buckets))[spread.inverse]
         own = (block.last - block.first + 1)[alive]
         upto = np.cumsum(strings) - strings
         total = np.cumsum(own)
@@ -215,7 +287,7 @@ def remove_repeated_bytes(documents: DataFrame, *, id_col: str = "doc_id", text_
         names = ["id", "n_bytes", "n_removed", "spans", "kept_sha256"]
         return pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())] if texts else columns, names=[*names, "kept"] if texts else names)
 
-    first = bl.exchange(bl.with_replies(packed), ask, bl.in_many)
+    first = bl.exchange(bl.with_replies(packed), ask, _leads(hot))
     second = bl.exchange(bl.with_replies(packed, first), ask_again, _compare(length))
     schema = "id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept_sha256 string" + ", kept binary" * texts
     return bl.finish(bl.with_replies(packed, first, second), cut, schema).withColumnRenamed("id", id_col)
