@@ -135,32 +135,45 @@ def _nodes(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _candidates(reps: DataFrame, trees: int) -> DataFrame:
-    """(src, dst): each representative with the least one of each of its prefixes.
+    """(src, dst): links that connect the representatives of each prefix.
 
-    Rows are dealt and sorted by prefix and read as a stream: memory is one
-    batch, whatever the number of rows with a prefix.
+    Each batch links the nodes of a prefix to the least one it has and sends
+    that one alone, so a prefix of any number of rows loads the exchange with a
+    row per batch at most.  Those are dealt and sorted by prefix, read as a
+    stream, and linked to the least of all: memory is one batch.
     """
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
             nodes = np.repeat(batch.column(0).to_numpy(), trees)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], names=["key", "node"])
+            order = np.lexsort((nodes, keys))
+            k, v = keys[order], nodes[order]
+            new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
+            head = v[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+            rest = np.unique(np.stack([v[~new], head[~new]], 1), axis=0) if not new.all() else np.zeros((0, 2), np.int64)
+            # A row whose two nodes differ is a finished link, dealt by its own node; the others are heads.
+            columns = [np.concatenate(x) for x in ((k[new], rest[:, 0]), (v[new], rest[:, 0]), (v[new], rest[:, 1]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "node", "head"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = head = None
         for batch in batches:
-            k, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(k):
-                continue
-            new = np.append(k[0] != key or head is None, k[1:] != k[:-1])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            heads = np.where(at >= 0, v[np.maximum(at, 0)], head if head is not None else 0)
-            other = ~new & (heads != v)
-            yield pa.RecordBatch.from_arrays([pa.array(v[other], pa.int64()), pa.array(heads[other], pa.int64())], names=["src", "dst"])
-            key, head = k[-1], heads[-1]
-
-    rows = reps.select("node", "keys").mapInArrow(spread, "key long, node long")
+            k, v, h = (batch.column(c).to_numpy() for c in range(3))
+            done = v != h
+            src, dst = [v[done]], [h[done]]
+            k, v = k[~done], v[~done]
+            if len(k):
+                new = np.append(k[0] != key or head is None, k[1:] != k[:-1])
+                at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+                heads = np.where(at >= 0, v[np.maximum(at, 0)], head if head is not None else 0)
+                other = ~new & (heads != v)
+                src.append(v[other])
+                dst.append(heads[other])
+                key, head = k[-1], heads[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (src, dst)], names=["src", "dst"])
+
+    rows = reps.select("node", "keys").mapInArrow(combine, "key long, node long, head long")
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(link, "src long, dst long").distinct()
@@ -290,5 +303,7 @@ def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_c
     """
     found = near_duplicates(documents, id_col=id_col, text_col=text_col, **options)
     keep = found.groupBy("class_node").agg(F.min_by("node", F.struct(F.col(id_col).isNotNull(), id_col, "node")).alias("k_node")).select("k_node")
-    marked = documents.withColumn("weft_node", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
-    return marked.join(keep, F.col("weft_node") == F.col("k_node"), "left_semi").dropDuplicates(["weft_node"]).drop("weft_node")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])  # whole rows: no column of documents can clash
+    marked = documents.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("weft_node"), row.alias("weft_row"))
+    kept = marked.join(keep, F.col("weft_node") == F.col("k_node"), "left_semi").dropDuplicates(["weft_node"])
+    return kept.select(*[F.col(f"weft_row.`{c}`").alias(c) for c in documents.columns])
