@@ -98,7 +98,10 @@ def decontaminate(
     small = small_enough(windows, broadcast_rows)
     near = F.broadcast if small else lambda x: x
 
-    docs = documents.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), words_of(F.col(text_col)).alias("words"))
+    docs = documents.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    if not small:  # read twice then, with the same row numbers
+        docs = materialise(docs)
+    docs = docs.select("id", "row", words_of(F.col("text")).alias("words"))
     empty = docs.select("id", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
     if prints is None:
         return empty.withColumnRenamed("id", id_col)
@@ -111,7 +114,16 @@ def decontaminate(
     marked = docs.withColumn("all", F.concat(F.array(F.struct(F.lit(0).alias("size"), none.alias("p"))), F.flatten(found)))
     marked = marked.select("id", "row", "words", F.explode_outer("all").alias("f"))  # never empty; the outer form keeps the optimiser from a filter that computes "all" twice
     marked = marked.select("id", "row", "words", F.col("f.size").alias("size"), hash_of(F.col("f.p")).alias("hash"), F.col("f.p").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int").alias("pos"))
-    hits = marked.join(near(prints), (F.col("hash") == F.col("f_hash")) & (F.col("size") == F.col("f_size")), "left").where("size = 0 or f_hash is not null")
+    same = (F.col("hash") == F.col("f_hash")) & (F.col("size") == F.col("f_size"))
+    if small:
+        hits = marked.join(F.broadcast(prints), same, "left").where("size = 0 or f_hash is not null")
+    else:
+        # Fingerprints travel without words; a document's hits are gathered and meet its words once.
+        at = marked.where("size > 0").select("row", "size", "hash", "pos").join(prints, same).groupBy("row").agg(F.collect_set(F.struct("size", "pos")).alias("at"))
+        marker = F.array(F.struct(F.lit(0).alias("size"), F.lit(-1).alias("pos")))
+        hits = docs.join(at.withColumnRenamed("row", "h_row"), F.col("row") == F.col("h_row"), "left")
+        hits = hits.withColumn("all", F.when(F.col("at").isNull(), marker).otherwise(F.concat(marker, "at"))).select("id", "row", "words", F.explode_outer("all").alias("h"))
+        hits = hits.select("id", "row", "words", "h.size", "h.pos")
 
     # Extension: the windows of a document that hold the fingerprint.
     reach = F.lit(None).cast("int")
