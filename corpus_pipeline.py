@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weft.llm.decontaminate import decontaminate
 from weft.llm.language import identify, train
@@ -19,18 +20,21 @@ from weft.llm.tokenstore import store_tokens
 from weft.shared import fresh_path
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """With a hash of identifier and text: equal for repeated rows alone."""
-    return docs.withColumn("weft_key", F.xxhash64("doc_id", "text"))
+def _packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """(weft_key, weft_row, ...): a hash of identifier and text, equal for repeated rows alone, the whole
+    row, and the columns asked for; so no column of docs can clash with one of a stage."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("weft_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("weft_row"), *columns)
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"weft_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected; lang becomes the prediction."""
     model = train(docs.where(~held_out()), sample_key=F.col("doc_id"))
-    keyed = docs.withColumn("weft_row", F.struct(*docs.columns))
-    got = identify(keyed, model, id_col="weft_row")
-    kept = got.where(~F.col("rejected"))
-    return kept.select(*[(F.col("lang_pred") if c == "lang" else F.col(f"weft_row.{c}")).alias(c) for c in docs.columns])
+    kept = identify(_packed(docs, "text"), model, id_col="weft_row").where(~F.col("rejected"))
+    return kept.select(*[(F.col("lang_pred") if c == "lang" else F.col(f"weft_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,21 +44,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    keyed = _keyed(docs)
-    found = decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="weft_key")
+    found = decontaminate(_packed(docs, "text"), table(spark, sf_dir, "benchmark"), id_col="weft_key")
     hit = found.where("n_hit > 0").select(F.col("weft_key").alias("hit"))
-    return keyed.join(hit, F.col("weft_key") == F.col("hit"), "left_anti").drop("weft_key")
+    rows = _packed(docs)
+    return _unpacked(rows.join(hit, F.col("weft_key") == F.col("hit"), "left_anti"), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    keyed = _keyed(docs)
-    mixed = mix_sources(keyed, id_col="weft_key").groupBy("weft_key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    mixed = mix_sources(_packed(docs, "text", "source"), id_col="weft_key").groupBy("weft_key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
     wanted = mixed.where("copies > 0").withColumnRenamed("weft_key", "m_key")
-    # Repeated rows share a key and, between them, their copies: the first rows take one more.
-    joined = keyed.join(wanted, F.col("weft_key") == F.col("m_key"))
-    share = F.floor(F.col("copies") / F.col("rows")) + (F.pmod(F.xxhash64("weft_key"), F.col("rows")) < F.pmod(F.col("copies"), F.col("rows"))).cast("long")
-    return joined.withColumn("weft_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(share, F.lit(1).cast("long"))))).where(F.col("weft_copy") <= share).select(*docs.columns)
+    joined = _packed(docs).join(wanted, F.col("weft_key") == F.col("m_key"))
+    # Repeated rows share a key and, between them, their copies: the first ones take one more.  The
+    # window needs the join's own partitioning and order, so it moves nothing.
+    place = F.row_number().over(Window.partitionBy("weft_key").orderBy("weft_key"))
+    share = F.floor(F.col("copies") / F.col("rows")) + (place <= F.pmod(F.col("copies"), F.col("rows"))).cast("long")
+    shared = joined.withColumn("share", share).where("share > 0")
+    return _unpacked(shared.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("share")))), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

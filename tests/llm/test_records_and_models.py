@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import warc
 from weft.llm.language import identify, train
+from weft.llm.mixing import mix_sources
 from weft.llm.nearjoin import drop_near_duplicates, matched_depth, near_duplicates, recall_of
 
 # ---- WARC ----
@@ -161,13 +162,40 @@ def test_prefix_is_shortened_to_the_target_recall():
 # ---- pipeline ----
 
 
+#: Extra columns of documents, named like columns that stages make.
+CLASHING = ["weft_key", "weft_row", "weft_node", "m_key", "k_node", "hit", "copies", "rows", "share", "copy", "id", "row", "size", "node", "rejected", "lang_pred", "a.b"]
+
+
+def test_pipeline_stages_of_odd_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    pytest.importorskip("public_tokenizers")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, "no such words"), (2, None), (None, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"w{k % 977}" for k in range(60_000))
+    same = (5, "a b c d e f", "en", "s", 1)
+    for docs, words in ((spark.createDataFrame([], schema), 0), (spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, long, "en", None, 1), *[same] * 5], schema), 60_000)):
+        for name, stage in pipeline.STAGES:
+            got = stage(spark, docs, str(tmp_path))
+            if name == "token-ID / binary output":
+                assert got.count() == docs.count()
+            elif name == "mixing sources to target weights" and words:
+                taken = [r.doc_id for r in got.collect()]
+                # Of the five equal rows each is taken once or twice, as the source's target wants.
+                mixed = mix_sources(pipeline._packed(docs, "text", "source"), id_col="weft_key")
+                assert taken.count(5) == mixed.where("size = 6").agg(F.sum("copies")).first()[0] and taken.count(None) == taken.count(1) == 0
+            elif not words:
+                assert got.columns == docs.columns and got.count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     pytest.importorskip("public_tokenizers")
     rows = [(k, t, lang, f"s{k % 2}", len(t)) for k, t, lang in sentences(5, 120)]
     rows += [(1000 + k, rows[k][1], rows[k][2], "s0", 1) for k in range(5)] + [(2000, None, "en", "s1", 0), (2001, "漢字仮名交じり文" * 40, None, "s1", 1)]
     bench = [(1, " ".join(rows[7][1].split()[:10]))] if len(rows[7][1].split()) >= 10 else [(1, rows[7][1])]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows += [rows[9], rows[9]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    table.withColumns({c: F.lit(c) for c in CLASHING}).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns, seen = docs.columns, {}

@@ -30,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.llm.textops import mix, modest_batches
 
@@ -323,5 +324,5 @@ def identify(documents: DataFrame, model: Identifier, *, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(entropy), pa.array(rejected)], names=["id", "lang_pred", "score", "entropy", "rejected"])
 
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, lang_pred string, score double, entropy double, rejected boolean").withColumnRenamed("id", id_col)
+    schema = T.StructType([docs.schema["id"]]).add("lang_pred", "string").add("score", "double").add("entropy", "double").add("rejected", "boolean")
+    return docs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
