@@ -75,7 +75,7 @@ PTS_SQL = "pts AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir).where("id < 200")  # exact pairs are quadratic: the operator is defined on a small set
+    p = points(spark, sf_dir)
     return p.select("id", "x", "y", (1 + F.col("label") % 3).cast("double").alias("mass"), F.lit(0.01).alias("radius"))
 
 
@@ -113,10 +113,7 @@ def _bh(spark, sf_dir):
 
 @query("overlap_saturation", f"WITH {PTS_SQL} SELECT id, count(*) AS n_touching FROM near WHERE r <= 0.02 GROUP BY id")
 def _touching(spark, sf_dir):
-    b = _bodies(spark, sf_dir)
-    o = b.select(F.col("id").alias("u_id"), F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("radius").alias("u_radius"))
-    gap = forces.norm(forces.difference([F.col("x"), F.col("y")], [F.col("ux"), F.col("uy")])) - F.col("radius") - F.col("u_radius")
-    return b.crossJoin(o).where("id <> u_id").where(gap <= 0).groupBy("id").agg(F.count(F.lit(1)).alias("n_touching"))
+    return layout.touching(_bodies(spark, sf_dir))
 
 
 @query("gravity", f"WITH {SP_SQL}, {AT_SQL}, d AS (SELECT src, count(*) AS n FROM darts GROUP BY 1) SELECT id, CAST(round(CASE WHEN sqrt(x * x + y * y) < 1e-9 THEN 0 ELSE -0.5 * (n + 1) * x / sqrt(x * x + y * y) END * 10000) AS BIGINT) AS fx, CAST(round(CASE WHEN sqrt(x * x + y * y) < 1e-9 THEN 0 ELSE -0.5 * (n + 1) * y / sqrt(x * x + y * y) END * 10000) AS BIGINT) AS fy FROM spots JOIN d ON d.src = id")
