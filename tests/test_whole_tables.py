@@ -69,3 +69,30 @@ def test_blocks_sum_as_pairs_do(spark, monkeypatch, model):
     assert got.keys() == want.keys()
     assert all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-9) for k in want)
     assert layout.exact_repulsion(bodies.limit(1), model, 0.3, 10.0).count() == 0
+
+
+def test_searches_start_at_every_twentieth_vertex(spark, tmp_path):
+    rng = random.Random(8)
+    sold = sorted({(rng.randrange(60), rng.randrange(120)) for _ in range(260)})
+    spark.createDataFrame(sold, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    lists = {}
+    for s, p in sold:  # sorted, as the darts of a vertex are
+        lists.setdefault(s, []).append(p + 1_000_000)
+        lists.setdefault(p + 1_000_000, []).append(s)
+    nearest, within, bits = set(), set(), []
+    for source in [v for v in lists if v % 20 == 0]:
+        dist, queue = {source: 0}, [source]
+        for v in queue:
+            for u in lists[v]:
+                if u not in dist:
+                    dist[u] = dist[v] + 1
+                    queue.append(u)
+        hits = [v for v in queue[1:] if v % 3 == 0 and v < 1_000_000][:8]
+        nearest |= {(source, k + 1, v, dist[v]) for k, v in enumerate(hits)}
+        within |= {(source, v, dist[v]) for v in queue[1:] if dist[v] <= 2}
+    for v in sorted(lists):
+        bits += [(v, k, u) for k, u in enumerate(lists[v])]
+    run = lambda name: sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+    assert run("knn_filtered") == sorted(nearest) and any(s >= 1_000_000 for s, *_ in nearest)
+    assert run("within_radius") == sorted(within) and any(s >= 1_000_000 for s, *_ in within)
+    assert run("dart_from_bit") == [(bit, *dart) for bit, dart in enumerate(bits)]

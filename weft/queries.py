@@ -188,8 +188,7 @@ def _range_count(spark, sf_dir):
 def _bit(spark, sf_dir):
     g = supplier_parts(spark, sf_dir)
     g = Graph(g.vertices, materialise(g.darts))
-    wanted = g.darts.groupBy().count().select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(100).cast("long"))).alias("bit"))
-    return vw.dart_from_bit(g, wanted)
+    return vw.dart_from_bit(g, spark.range(g.darts.count()).select(F.col("id").alias("bit")))
 
 
 @query("reverse_graph", f"WITH {HIER_SQL} SELECT dst AS src, CAST(row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS INTEGER) AS pos, src AS dst FROM edges")
@@ -373,17 +372,22 @@ def _connected(spark, sf_dir):
     return tr.is_connected(customer_chains(spark, sf_dir))
 
 
+def _sources(g: Graph) -> DataFrame:
+    """The query set of the searches."""
+    return g.vertices.where("id % 20 = 0").select("id")
+
+
 @query("knn_filtered", f"WITH {SP_SQL}, src AS (SELECT id FROM ids WHERE id < 5), one AS (SELECT src.id AS source, d.dst AS v, d.pos AS rk FROM src JOIN darts d ON d.src = src.id), two AS (SELECT source, d.dst AS v, min(struct_pack(rk := rk, pos := d.pos)) AS via FROM one JOIN darts d ON d.src = one.v WHERE d.dst <> source GROUP BY 1, 2), hits AS (SELECT source, v, row_number() OVER (PARTITION BY source ORDER BY via.rk, via.pos, v) AS rk FROM two WHERE v % 3 = 0) SELECT source, CAST(rk AS INTEGER) AS rank, v AS id, CAST(2 AS BIGINT) AS dist FROM hits WHERE rk <= 8")
 def _knn(spark, sf_dir):
     g = supplier_parts(spark, sf_dir)
     v = g.vertices
-    return tr.k_nearest(g, v.where("id < 5").select("id"), 8, v.where("id % 3 = 0 and id < 1000000").select("id"))
+    return tr.k_nearest(g, _sources(g), 8, v.where("id % 3 = 0 and id < 1000000").select("id"))
 
 
 @query("within_radius", f"WITH {SP_SQL}, src AS (SELECT id FROM ids WHERE id < 3), one AS (SELECT src.id AS source, d.dst AS id FROM src JOIN darts d ON d.src = src.id), two AS (SELECT DISTINCT source, d.dst AS id FROM one JOIN darts d ON d.src = one.id WHERE d.dst <> source) SELECT source, id, CAST(1 AS BIGINT) AS dist FROM one UNION ALL SELECT source, id, 2 FROM two")
 def _radius(spark, sf_dir):
     g = supplier_parts(spark, sf_dir)
-    return tr.within_radius(g, g.vertices.where("id < 3").select("id"), 2)
+    return tr.within_radius(g, _sources(g), 2)
 
 
 @query("is_tree", "SELECT CAST(1 AS INTEGER) AS code")
