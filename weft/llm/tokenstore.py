@@ -204,7 +204,9 @@ class Encoder:
 
     A byte-level BPE with the usual pattern splits texts at places that a few
     neighbouring bytes show.  Texts are cut there; equal segments are encoded
-    once.  A file whose pre-tokeniser is not of that kind is given whole texts.
+    once.  A file whose pre-tokeniser is not of that kind is given whole texts,
+    and so is every text that holds an added token, as that may be found across
+    cuts; segments of the others hold none.
     """
 
     def __init__(self, path: str):
@@ -214,10 +216,12 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         spec = json.loads(self.tok.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = spec.get("model", {}).get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or [] if t["content"]]
+        # Joined segments have a space or a line feed between them, which no added token may hold.
+        self.cuts = self.cuts and not any(b" " in t or b"\n" in t for t in self.added)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         if self.cuts:
             vocabulary = self.tok.get_vocab(with_added_tokens=True)
@@ -261,11 +265,42 @@ class Encoder:
         place = np.searchsorted(self.known, h)
         self.known, self.at, self.count = np.insert(self.known, place, h), np.insert(self.at, place, at), np.insert(self.count, place, counts)
 
+    def _whole(self, buf: np.ndarray, a: int, b: int) -> np.ndarray:
+        return np.array(self.tok.encode(bytes(buf[a:b]).decode(), add_special_tokens=False).ids, np.uint32)
+
+    def _holding(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Places of the texts that hold an added token."""
+        raw, found = buf.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                k = int(np.searchsorted(off, at, "right")) - 1
+                if at + len(token) <= off[k + 1]:
+                    found.add(k)
+                    at = raw.find(token, int(off[k + 1]))
+                else:
+                    at = raw.find(token, at + 1)
+        return np.array(sorted(found), np.int64)
+
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of the texts of a chunk, without the end id."""
         if not self.cuts:
-            got = [np.array(self.tok.encode(bytes(buf[a:b]).decode(), add_special_tokens=False).ids, np.uint32) for a, b in zip(off[:-1], off[1:])]
+            got = [self._whole(buf, a, b) for a, b in zip(off[:-1], off[1:])]
             return np.concatenate([np.zeros(0, np.uint32), *got]), np.cumsum([0, *map(len, got)])
+        holding = self._holding(buf, off)
+        if not len(holding):
+            return self._segments(buf, off)
+        sizes = np.diff(off)
+        keep = np.ones(len(sizes), bool)
+        keep[holding] = False
+        rest, rest_bounds = self._segments(buf[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])]))
+        parts = dict(zip(holding.tolist(), (self._whole(buf, off[k], off[k + 1]) for k in holding)))
+        parts |= {k: rest[rest_bounds[i] : rest_bounds[i + 1]] for i, k in enumerate(np.flatnonzero(keep).tolist())}
+        got = [parts[k] for k in range(len(sizes))]
+        return np.concatenate(got), np.cumsum([0, *map(len, got)])
+
+    def _segments(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of texts that hold no added token."""
         # A piece of the pattern never spans these places, and what follows them is matched alike
         # whatever stands before: a single space between two characters that aren't white space; before
         # a line feed after such a character, and after it if another follows; an ASCII letter before
