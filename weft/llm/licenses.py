@@ -1,7 +1,7 @@
 """Licence scan by canonical digest, in DataFrame functions only.
 
-A text is brought to a canonical form (case, spellings, copyright lines,
-punctuation and white space), its SHA-256 is taken, and the digests are joined
+A text is brought to a canonical form (case, spellings, copyright notices,
+titles, punctuation and white space), its SHA-256 is taken, and the digests are joined
 with those of known licence texts, which pass through the same form.  Whole
 texts are compared: a document that merely holds a licence has another digest.
 
@@ -13,14 +13,25 @@ give a row each; extra columns are never read.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.shared import small_enough
 
-# Letters folded, the copyright line, and equivalent spellings.
+# Letters folded, the copyright line of the SQL, and equivalent spellings.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"(^|\n)[ \t#*/;.-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# Copyright notices have a sign, a year or a capitalised holder, begin a line and end with
+# it or where a licence begins, 200 characters on at most; wrapped lines such as "copyright notice and
+# this permission notice" have none of these.  Titles stand before everything else.
+_MARGIN = r"(^|\n)[ \t#*/;.-]*"
+_REST = r"[^\n]{0,200}?(?=\n|\z|permission (?:is hereby granted|to use)|redistribution and use|licensed under)"
+HELD = _MARGIN + r"[Cc]opyright[ \t]+(?:by[ \t]+)?(?!Notice|Holder|Owner|Law|License|Act)[A-Z][a-z]" + _REST.replace("permission", "[Pp]ermission").replace("redistribution", "[Rr]edistribution").replace("licensed", "[Ll]icensed")
+NOTICE = _MARGIN + r"(?:copyright[ \t:,]*(?:\(c\)|©|[<\[{]?(?:[12][0-9]{3}|year|yyyy)\b)|(?:\(c\)|©)[ \t]*(?:copyright[ \t]*)?[<\[{]?(?:[12][0-9]{3}|year|yyyy)\b)" + _REST
+RESERVED = _MARGIN + r"all rights reserved\b\.?"
+TITLE = r"^[\s#*/;=-]*(?:the )?(mit|isc|bsd [23]-clause) (?:license|licence)(?:[ \t]*\((?:mit|isc|bsd-[23]-clause)(?: license)?\))?(?=[\s:=.*-]|\z)"
 SPELLINGS = (
     (r"https?://", "http "),
     (r"\blicence", "license"),
@@ -58,10 +69,29 @@ KNOWN = {
 }
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+
+
+def full_texts() -> dict[str, str]:
+    """Whole licence texts beside those of KNOWN: BSD, and the files of license_texts by their names."""
+    out = {"ISC (titled)": "ISC License\n\n" + ISC}
+    for name, text in (("BSD-2-Clause", BSD % ""), ("BSD-3-Clause", BSD % BSD_3)):
+        out |= {name: text, f"{name} (titled)": f"{name[:5].replace('-', ' ')}-Clause License\n\n{text}"}
+    return out | {p.stem: p.read_text() for p in (Path(__file__).parent / "license_texts").glob("*.txt")}
+
+
 def canonical(text: Column) -> Column:
     """Words of the text in canonical form, one space between them."""
-    out = F.translate(text, UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
+    out = F.translate(F.regexp_replace(text, HELD, "$1"), UPPER, LOWER)
+    out = F.regexp_replace(F.regexp_replace(out, NOTICE, "$1"), RESERVED, "$1")
+    out = F.regexp_replace(F.regexp_replace(out, TITLE, "$1 license"), r"\s+", " ")  # spellings of two words may be wrapped
     for found, instead in SPELLINGS:
         out = F.regexp_replace(out, found, instead)
     return F.trim(F.regexp_replace(out, NOT_WORD, " "))
@@ -69,7 +99,7 @@ def canonical(text: Column) -> Column:
 
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(license, text) of the given or the built-in licence texts."""
-    rows = sorted((KNOWN if texts is None else texts).items())
+    rows = sorted((KNOWN | full_texts() if texts is None else texts).items())
     return spark.createDataFrame(rows, "license string, text string")
 
 
