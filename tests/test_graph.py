@@ -277,3 +277,36 @@ def test_array_functions(spark):
     r = df.select(arrays.insert_at(a, 1, one(9)).alias("i"), arrays.delete_at(a, 0).alias("d"), arrays.swap_delete(a, 0).alias("s"), arrays.find_one(a, one(6)).alias("f"), arrays.find_and_delete(a, one(6)).alias("fd"), arrays.pop(a).alias("p"), arrays.tail(a).alias("t"), arrays.push(a, one(1)).alias("u"), arrays.bits_set(F.col("m")).alias("b"), arrays.popcount(F.col("m")).alias("c"), arrays.clear_range(F.col("m"), 1, 3).alias("cr"), arrays.set_bit(F.col("m"), 2).alias("sb"), arrays.clear_bit(F.col("m"), 0).alias("cb")).first()
     assert (r.i, r.d, r.s, r.f, r.fd) == ([5, 9, 6, 7, 6], [6, 7, 6], [6, 6, 7], 1, [5, 7, 6])
     assert (r.p, r.t, r.u, r.b, r.c, r.cr, r.sb, r.cb) == ([5, 6, 7], 6, [5, 6, 7, 6, 1], [0, 1, 3], 3, 0b1001, 0b1111, 0b1010)
+
+
+# ---- ids at size ----
+
+
+def test_running_sum_of_many_rows(spark):
+    n = 200_000
+    rows = spark.range(n).select(F.xxhash64("id").alias("key"), F.lit(1).cast("long").alias("one"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    from weft.model import running_sum
+
+    got = running_sum(rows, "key", "one", "place").agg(F.count_distinct("place"), F.min("place"), F.max("place"), F.count_distinct("payload")).first()
+    assert tuple(got) == (n, 0, n - 1, n)
+
+
+def test_files_are_numbered_at_size(spark, tmp_path):
+    n = 200_000
+    (tmp_path / "path.txt").write_text("".join(f"{(i * 7919) % n} {((i + 1) * 7919) % n}\n" for i in range(n - 1)))
+    g = files.read_edges(spark, str(tmp_path / "path.txt"))
+    assert tuple(g.vertices.agg(F.count(F.lit(1)), F.count_distinct("id"), F.max("id")).first()) == (n, n, n - 1)
+    # ids are by first appearance, so the path runs 0, 1, 2, ...
+    assert g.edges().where("dst - src <> 1").isEmpty() and g.edges().count() == n - 1
+    m = 20_000
+    (tmp_path / "path.obj").write_text("".join(f"v {i} 0 0\n" for i in range(m)) + "".join(f"f -{i + 1} -{i + 2}\n" for i in range(m - 1)))
+    o = files.read_obj(spark, str(tmp_path / "path.obj"))
+    assert o.vertices.count() == m and o.edges().where("dst - src <> 1").isEmpty() and o.edges().count() == m - 1
+    (tmp_path / "path.gexf").write_text('<gexf><graph><nodes>' + "".join(f'<node id="n{i}"/>\n' for i in range(m)) + "</nodes><edges>" + "".join(f'<edge source="n{i}" target="n{i + 1}"/>\n' for i in range(m - 1)) + "</edges></graph></gexf>")
+    x = files.read_gexf(spark, str(tmp_path / "path.gexf"))
+    assert x.edges().where("dst - src <> 1").isEmpty() and x.edges().count() == m - 1
+
+
+def test_carpet_at_size(spark):
+    got = gen.carpet_vertices(spark, 6).agg(F.count(F.lit(1)), F.count_distinct("id"), F.max("id")).first()
+    assert tuple(got) == (8**6, 8**6, 8**6 - 1)

@@ -245,6 +245,38 @@ def test_grip_frames_agree_with_kernel(spark):
     assert {r.id for r in out} == {0, 1, 2}  # components below a simplex are left out
 
 
+def test_layers_as_jobs_are_those_of_the_kernel(spark):
+    """A path and a star with a tail: their tops are padded."""
+    for edges in ([(i, i + 1) for i in range(11)], [(0, i) for i in range(1, 7)] + [(6, 7), (7, 8)]):
+        n = max(max(e) for e in edges) + 1
+        lists = {v: [b if a == v else a for a, b in edges if v in (a, b)] for v in range(n)}
+        c = grip.Component(list(range(n)), lists, grip.GripConfig())
+        g = Graph.of(spark, n, edges)
+        layers = grip.pad_layers(grip.mis_layers(g), g.darts.select("src", "dst"), 2)
+        found = {r.id: r.layer for r in layers.collect()}
+        for k, size in enumerate(c.border):
+            assert {v for v, top in found.items() if top >= k} == set(c.order[:size]), (k, n)
+
+
+def test_large_components_run_as_jobs(spark):
+    g = gen.rect_mesh(spark, 3, 4)
+    config = grip.GripConfig(dim=3, rounds=2)
+    one = {r.id: (r.pos, r.layer) for r in grip.grip_layout(g, config).collect()}
+    jobs = {r.id: (r.pos, r.layer) for r in grip.grip_layout(g, config, kernel_vertices=5).collect()}
+    assert {v: x[1] for v, x in one.items()} == {v: x[1] for v, x in jobs.items()}
+    assert all(len(x[0]) == 3 and np.isfinite(x[0]).all() for x in jobs.values())
+
+
+def test_rigid_motion_of_rows(spark):
+    rng = np.random.default_rng(2)
+    for dim in (2, 3, 4):
+        xy, d = rng.normal(size=(20, dim)), rng.normal(size=(20, dim))
+        names = [f"x{k}" for k in range(dim)] + [f"d{k}" for k in range(dim)]
+        moves = spark.createDataFrame([(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(xy, d))], ["id", *names])
+        got = np.array([r[1 + dim :] for r in sorted(grip.without_rigid_motion(moves, dim).collect())])
+        assert np.allclose(got, grip.rigid_free(xy, d))
+
+
 def test_rigid_motion_is_removed():
     rng = np.random.default_rng(1)
     for dim in (2, 3, 4):

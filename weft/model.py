@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.shared import materialise
+
 VERTICES = "id long, data string"
 DARTS = "src long, pos int, dst long"
 
@@ -88,9 +90,13 @@ class Graph:
 
 
 def running_sum(df: DataFrame, key: str, value: str, out: str, parts: int | None = None) -> DataFrame:
-    """df with the sum of ``value`` over all rows with a smaller key (distinct keys)."""
+    """df with the sum of ``value`` over all rows with a smaller key (distinct keys).
+
+    The rows are written once with the range that each fell into: a range exchange samples its bounds
+    anew each time it is planned, and totals by other bounds than the rows' own would be wrong.
+    """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
+    ranged = materialise(df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(F.sum(value).alias("_total"))
     before = totals.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inner = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

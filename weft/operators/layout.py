@@ -69,28 +69,48 @@ class ForceConfig:
         return replace(self, **keep)
 
 
+# Fixed values of the speed controller: noise per root of the vertices, most tolerance, bounds of the efficiency,
+# swinging per traction that calls for less, what the efficiency is multiplied by, speed from which it stays, most rise.
+NOISE, MOST_TOLERANCE = 0.05, 10.0
+LEAST_EFFICIENCY, MOST_EFFICIENCY = 0.05, 1.0
+WILD, TAMED, SLOWED, SPED = 2.0, 0.5, 0.7, 1.3
+FAST, RISE = 1000.0, 0.5
+
+
+def tolerated(traction: float, n: int, jitter: float) -> float:
+    """Swinging per traction that n vertices may have: it grows with the mean traction, within bounds."""
+    ideal = NOISE * math.sqrt(n)
+    return jitter * max(math.sqrt(ideal), min(MOST_TOLERANCE, ideal * traction / n**2))
+
+
 @dataclass(frozen=True)
 class Speed:
-    """Global speed of a force layout and its efficiency."""
+    """Global speed of a force layout and its efficiency, by the published ForceAtlas2 rule.
+
+    The speed aims at the tolerated share of swinging over the one seen, and
+    rises by a bounded part of itself; the efficiency falls while vertices
+    swing more than is tolerated and recovers while they don't.
+    """
 
     speed: float = 1.0
     efficiency: float = 1.0
 
+    def less(self, factor: float) -> Speed:
+        """With a lower efficiency, unless it is at its floor."""
+        return replace(self, efficiency=self.efficiency * factor) if self.efficiency > LEAST_EFFICIENCY else self
+
     def update(self, swinging: float, traction: float, n: int, jitter: float) -> Speed:
         if traction < TINY:
             return self
-        best = 0.05 * math.sqrt(n)
-        jt = jitter * max(math.sqrt(best), min(10.0, best * traction / (n * n)))
-        efficiency = self.efficiency
-        if swinging / traction > 2.0:
-            efficiency *= 0.5 if efficiency > 0.05 else 1.0
-            jt = max(jt, jitter)
-        target = jt * efficiency * traction / swinging if swinging > TINY else self.speed
-        if swinging > jt * traction:
-            efficiency *= 0.7 if efficiency > 0.05 else 1.0
-        elif self.speed < 1000.0:
-            efficiency *= 1.3
-        return Speed(self.speed + min(target - self.speed, 0.5 * self.speed), min(1.0, max(0.05, efficiency)))
+        seen, allowed, now = swinging / traction, tolerated(traction, n, jitter), self
+        if seen > WILD:
+            allowed, now = max(allowed, jitter), now.less(TAMED)
+        goal = allowed * now.efficiency / seen if swinging > TINY else self.speed
+        if seen > allowed:
+            now = now.less(SLOWED)
+        elif self.speed < FAST:
+            now = replace(now, efficiency=now.efficiency * SPED)
+        return Speed(min(goal, (1.0 + RISE) * self.speed), min(MOST_EFFICIENCY, max(LEAST_EFFICIENCY, now.efficiency)))
 
 
 def edge_attraction(darts: DataFrame, positions: DataFrame, model: str, edge: float) -> DataFrame:
