@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weft.llm import warc
 from weft.llm.language import identify, train
 from weft.llm.mixing import mix_sources
-from weft.llm.nearjoin import drop_near_duplicates, matched_depth, near_duplicates, recall_of
+from weft.llm.nearjoin import DEPTH, TREES, drop_near_duplicates, forest_links, labels, matched, near_duplicates, pilot_recall, recall_of, shortened
 
 # ---- WARC ----
 
@@ -134,7 +134,7 @@ def near_rows(seed=1):
     return rows + [(100, None), (101, ""), (102, "one two"), (103, "One, two!"), (104, rows[0][1]), (104, rows[0][1]), (None, rows[1][1])]
 
 
-@pytest.mark.parametrize("group_docs", [1024, 4])
+@pytest.mark.parametrize("group_docs", [512, 4])
 def test_near_duplicates_match_brute_force(spark, group_docs):
     rows = near_rows()
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string").repartition(3)
@@ -153,10 +153,59 @@ def test_one_of_each_class_stays(spark):
 
 
 def test_prefix_is_shortened_to_the_target_recall():
-    assert matched_depth(0.8, 44, 8, 0.999) == 8 and recall_of(0.8, 44, 8) >= 0.999
-    assert matched_depth(0.5, 44, 8, 0.999) < 8
-    d = matched_depth(0.5, 44, 8, 0.999)
-    assert d == 1 or (recall_of(0.5, 44, d) >= 0.999 > recall_of(0.5, 44, d + 1))
+    perfect = [1.0] * DEPTH
+    assert shortened(0.8, TREES, DEPTH, 0.999, perfect) == 8 and recall_of(0.8, TREES, 8) >= 0.999 > recall_of(0.8, TREES, 9)
+    d = shortened(0.5, TREES, DEPTH, 0.999, perfect)
+    assert d < 8 and recall_of(0.5, TREES, d) >= 0.999 > recall_of(0.5, TREES, d + 1)
+    assert shortened(0.95, TREES, DEPTH, 0.999, perfect) == DEPTH  # nothing to shorten
+    assert shortened(0.8, TREES, DEPTH, 0.999, [1.0] * 5 + [0.99] * (DEPTH - 5)) == 5  # pairs that hash worse than the formula says
+
+
+def test_recall_is_measured_on_pairs_at_the_threshold(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(200)) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts + [None, "", "one two"]], "text string")
+    measured = pilot_recall(df, 1.0)
+    assert measured == sorted(measured, reverse=True) and len(measured) == DEPTH
+    assert all(abs(measured[d - 1] - recall_of(0.8, TREES, d)) < 0.08 for d in range(1, DEPTH + 1))
+    assert pilot_recall(df, 0.0) == [1.0] * DEPTH
+
+
+def test_links_are_matched_at_several_depths(spark):
+    """Links of the tries against all prefixes of all labels, compared one by one."""
+    rng = np.random.default_rng(5)
+    trees, depth, stop = 6, 7, 3
+    made = rng.integers(0, 3, (40, trees, depth)).astype(np.uint8)
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(made)], "class long, label binary").repartition(3)
+    got = {(r.src, r.dst): r.matched for r in forest_links(df, trees, depth, stop).collect()}
+    best = {(i, j): int(matched(made[i], made[j]).max()) for i in range(40) for j in range(40) if i != j}
+    assert all(stop <= m <= best[p] for p, m in got.items()) and len(set(got.values())) > 2
+
+    def groups(pairs):
+        seen = list(range(40))
+        for a, b in pairs:
+            x, y = seen[a], seen[b]
+            seen = [min(x, y) if v in (x, y) else v for v in seen]
+        return seen
+
+    assert groups(p for p, m in best.items() if m >= stop) == groups(got)
+    one = {(r.src, r.dst): r.matched for r in forest_links(df.coalesce(1), trees, depth, stop).collect()}
+    for at in range(stop, depth + 1):  # in one batch, at every length the links connect what shares a prefix of that length
+        assert groups(p for p, m in best.items() if m >= at) == groups(p for p, m in one.items() if m >= at)
+
+
+def test_labels_are_of_whole_sets():
+    values = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50).astype(np.uint64))
+    made = labels(np.concatenate([values, values]), np.array([0, 50, 50, 100]), 4, 5)
+    assert made.shape == (2, 4, 5) and (made[0] == made[1]).all() and len(np.unique(made)) > 5
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    long = " ".join(f"w{i % 700}" for i in range(60_000))
+    rows = [("x1", long, 1), ("7", long + " more words at the end of it", 2), ("8", None, 3)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, class long")
+    got = {(r.doc_id, r.class_id, r.n_links) for r in near_duplicates(df).collect()}
+    assert got == {(None, None, 1), (7, None, 1), (8, 8, 0)}  # identifiers that are no numbers are null, the least of a class
 
 
 # ---- pipeline ----

@@ -188,8 +188,16 @@ def per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+#: Bytes of an Arrow batch, from which Spark closes it.
+BATCH_BYTES = 4 << 20
+
+
 def modest_batches(spark, rows: int = 2048) -> None:
-    """Arrow batches small enough for tables with long texts."""
+    """Arrow batches bounded by rows and by bytes, for tables with long texts.
+
+    The bounds stay set on the session: plans read them when they run.
+    """
     have = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if not 0 < have <= rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
