@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with odd rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -17,7 +18,7 @@ from weft.llm.decontaminate import decontaminate
 from weft.llm.licenses import KNOWN, MIT, known_licenses, scan_licenses
 from weft.llm.mixing import mix_sources
 from weft.llm.quality import measure, repetition
-from weft.llm.suffixes import remove_repeated_bytes
+from weft.llm.suffixes import equal_strings, multikey_order, remove_repeated_bytes
 from weft.llm.tokenstore import Encoder, Shard, ShardWriter, key_of, store_tokens
 from weft.llm.windows import remove_repeated
 
@@ -202,6 +203,43 @@ def test_repeated_bytes(spark, n, hot):
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got], key=str) == brute_bytes(rows, n)
 
 
+def test_multikey_quicksort():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 300):
+        words = rng.integers(0, 3, (n, 6)).astype(np.uint64) << np.uint64(62)  # many ties, numbers above 2**63
+        order = multikey_order(words)
+        assert sorted(order.tolist()) == list(range(n)) and words[order].tolist() == sorted(words.tolist())
+
+
+def test_equal_strings_around_one_lead():
+    """Strings with one lead at several places, with zero bytes and ends that differ."""
+    rng = random.Random(9)
+    lead, length = bytes(range(8)), 12
+    parts, sizes, leads, want = [], [], [], []
+    for _ in range(60):
+        left = bytes(rng.choice([0, 65]) for _ in range(rng.randint(0, 4)))
+        right = bytes(rng.choice([0, 66]) for _ in range(max(rng.randint(0, 4), 4 - len(left))))
+        text = left + lead + right
+        parts.append(text)
+        sizes.append(len(text))
+        leads.append(len(left))
+        want += [(len(left) - i, text[i : i + length]) for i in range(len(text) - length + 1)]
+    starts = np.cumsum([0, *sizes[:-1]])
+    got = equal_strings(np.frombuffer(b"".join(parts), np.uint8), starts, np.array(sizes), np.array(leads), length)
+    assert len(got) == len(want)
+    for (x, a), (y, b) in itertools.combinations(zip(want, got.tolist()), 2):
+        assert (x == y) == (a == b)
+
+
+def test_long_text_and_many_leads(spark):
+    """One very long text that repeats itself, and more surroundings than are sorted at once."""
+    rng = random.Random(2)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
+    rows = [(1, body, "s", "x"), (2, body[1000:200_000] + "!" + body[200_000:300_000], "s", "x"), (3, "".join(rng.choice("abcdefgh ") for _ in range(5000)), "s", "x")]
+    got = {r.doc_id: (r.n_removed, len(r.spans)) for r in remove_repeated_bytes(docs(spark, rows), texts=False).collect()}
+    assert got == {1: (299_000, 1), 2: (299_000, 2), 3: (0, 0)}
+
+
 def test_dedup_of_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert remove_repeated(none).count() == 0 and remove_repeated_bytes(none).count() == 0

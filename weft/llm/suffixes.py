@@ -2,19 +2,26 @@
 
 Of each string of ``length`` bytes the 64 bytes of least hash inside it are its
 lead; the suffixes that begin at leads are the ones that are ordered.
-Splitters sampled from their leading bytes range-partition them, and equal
-leads always meet in one bucket, so no comparison has to cross a boundary.
-First, leads that occur once are dropped.  For the rest each block sends the
-bytes around the lead that its strings cover; a bucket orders these by lead
-and fingerprint of the whole ``length`` bytes and compares neighbours.  A lead
-with more than ``hot`` different surroundings would load one bucket with all of
-them; the fingerprints of its strings are spread over buckets of their own.
+Splitters sampled from their leading bytes range-partition them.  First, leads
+that occur once are dropped.  For the rest each block sends the bytes around
+the lead that its strings cover.  A bucket sorts the suffixes from the leads
+on, and the bytes before the leads read backwards, by multikey quicksort, and
+compares neighbours byte by byte; two strings are equal if they lie in one run
+of both orders, at the depths that their place around the lead asks for.  A
+splitter is a suffix's first eight bytes, so what a bucket's last suffix shares
+with the next bucket's first one is less than a lead: the comparison across
+boundaries is made when suffixes are dealt, and no repeat can cross one.
+
+A lead with more than ``hot`` different surroundings would load one bucket with
+all of them; the fingerprints (64 bits) of its strings are spread over buckets
+of their own.
 
 Defined results: a null text is empty; texts shorter than ``length`` bytes
 lose nothing; a string that repeats inside one text counts as repeated, with
-overlaps; repeated rows repeat each other; identifiers play no part, nor do
-extra columns.  Strings are compared by a 64-bit fingerprint among those with
-the same lead and bucket.
+overlaps; repeated rows repeat each other; an empty table gives no row;
+identifiers play no part, nor do extra columns (identifiers that are no whole
+numbers are an error).  A text is never split: a task holds one block of a few
+megabytes or one text, about 60 bytes a byte.
 """
 
 from __future__ import annotations
@@ -72,10 +79,11 @@ class _Block:
             good = own[first] >= 0
             first, last = first[good], last[good]
             at = own[first]
-            run.append((g[at], _leading(buf, at), base - len(buf) + first, base - len(buf) + last))
+            run.append((g[at], _leading(buf, at), base - len(buf) + first, base - len(buf) + last, base - len(buf) + at))
         cat = lambda k, kind: np.concatenate([r[k] for r in run]) if run else np.zeros(0, kind)
         self.lead, self.key = cat(0, _U), cat(1, _U)
         self.first, self.last = cat(2, np.int64), cat(3, np.int64)  # strings that start in [first, last]
+        self.at = cat(4, np.int64)  # the lead's first byte
         self.n_bytes = base
 
     def bytes(self) -> np.ndarray:
@@ -85,7 +93,7 @@ class _Block:
         """Orders the runs by bucket and lead."""
         bucket = np.searchsorted(splitters, self.key, "right")
         order = np.lexsort((self.first, self.lead, bucket))
-        self.bucket, self.lead, self.first, self.last = bucket[order], self.lead[order], self.first[order], self.last[order]
+        self.bucket, self.lead, self.first, self.last, self.at = bucket[order], self.lead[order], self.first[order], self.last[order], self.at[order]
         new = np.append(True, self.lead[1:] != self.lead[:-1]) if len(order) else np.zeros(0, bool)
         self.kind = np.cumsum(new) - 1
         self.heads = np.flatnonzero(new)
@@ -125,7 +133,9 @@ class _Block:
 
 #: First byte of what a bucket gets: fingerprints of strings, or leads with their surroundings.
 _SPREAD, _AROUND = b"\x01", b"\x00"
-_HEAD = np.dtype([("lead", "<u8"), ("n", "<u4"), ("many", "u1")])
+_HEAD = np.dtype([("lead", "<u8"), ("n", "<u4"), ("at", "<u4"), ("many", "u1")])  # at: the lead's place
+#: Surroundings that are sorted at once, in expectation; those of one lead stay together.
+SORTED = 8_192
 
 
 def _gather(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -178,6 +188,74 @@ class _Spread:
         self.buckets = n + ((self.kinds >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
 
 
+def multikey_order(words: np.ndarray) -> np.ndarray:
+    """Order of rows of words (row, place) by multikey quicksort.
+
+    All segments that are still open are parted at once, three ways around a
+    median of three at their depth; equal parts go on with the next word.
+    """
+    n, deep = words.shape
+    order = np.arange(n)
+    start, stop, depth = np.zeros(1, np.int64), np.full(1, n), np.zeros(1, np.int64)
+    while True:
+        wide = (stop - start > 1) & (depth < deep)
+        start, stop, depth = start[wide], stop[wide], depth[wide]
+        if not len(start):
+            return order
+        size = stop - start
+        upto = np.cumsum(size)
+        base = upto - size
+        at = np.repeat(start - base, size) + np.arange(upto[-1])
+        segment = np.repeat(np.arange(len(size)), size)
+        rows = order[at]
+        w = words[rows, depth[segment]]
+        a, b, c = w[base], w[base + size // 2], w[upto - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[segment]
+        part = segment * 3 + (w >= pivot) + (w > pivot)
+        order[at] = rows[np.argsort(part, kind="stable")]
+        counts = np.bincount(part, minlength=3 * len(size))
+        begin = np.cumsum(counts) - counts + np.repeat(start - base, 3)
+        start, stop = begin, begin + counts
+        depth = np.repeat(depth, 3) + np.tile([0, 1, 0], len(size))
+
+
+def _table(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes from each start on (backwards for step -1), zeros after the end: (bytes by row, words with the size last)."""
+    wide = max(8, -(-int(sizes.max(initial=1)) // 8) * 8)
+    k = np.arange(wide)
+    inside = k[None, :] < sizes[:, None]
+    rows = np.where(inside, buf[np.clip(starts[:, None] + step * k[None, :], 0, len(buf) - 1)], 0).astype(np.uint8)
+    return rows, np.concatenate([rows.view(">u8").astype(_U), sizes[:, None].astype(_U)], axis=1)
+
+
+def _runs(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int, depths: np.ndarray) -> np.ndarray:
+    """(depth, row): number of the run of the sorted order, of rows alike in that many first bytes."""
+    rows, words = _table(buf, starts, sizes, step)
+    order = multikey_order(words)
+    differ = rows[order[1:]] != rows[order[:-1]]
+    same = np.where(differ.any(1), differ.argmax(1), rows.shape[1])  # bytes that neighbours share
+    same = np.minimum(same, np.minimum(sizes[order[1:]], sizes[order[:-1]]))
+    out = np.zeros((len(depths), len(order)), np.int32)
+    out[:, order[1:]] = np.cumsum(same[None, :] < depths[:, None], axis=1)
+    return out
+
+
+def equal_strings(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, leads: np.ndarray, length: int) -> np.ndarray:
+    """A number for each string of ``length`` bytes in each surrounding, alike for equal strings alone.
+
+    buf[starts : starts + sizes] are surroundings with the same lead at their
+    byte ``leads``; strings are in order of surrounding and place.
+    """
+    place = np.arange(int(leads.max(initial=0)) + 1)  # of the lead in a string
+    after = _runs(buf, starts + leads, sizes - leads, 1, length - place)
+    before = _runs(buf, starts + leads - 1, leads, -1, place)
+    count = sizes - length + 1
+    upto = np.cumsum(count)
+    row = np.repeat(np.arange(len(starts)), count)
+    at = np.repeat(leads + upto - count, count) - np.arange(int(upto[-1]))
+    return (at.astype(_U) << _U(48)) ^ (before[at, row].astype(_U) << _U(24)) ^ after[at, row].astype(_U)
+
+
 def _compare(length: int):
     def resolve(data: list[bytes]) -> list[bytes | None]:
         if data[0][:1] == _SPREAD:
@@ -191,13 +269,23 @@ def _compare(length: int):
             heads.append(np.frombuffer(raw, _HEAD, count=n, offset=4))
             bodies.append(np.frombuffer(raw, np.uint8, offset=4 + n * _HEAD.itemsize))
         head, buf = np.concatenate(heads), np.concatenate(bodies)
-        size = head["n"].astype(np.int64)
-        stop = np.cumsum(size)
-        strings = size - length + 1  # in each context
+        size, leads = head["n"].astype(np.int64), head["at"].astype(np.int64)
+        start = np.cumsum(size) - size
+        strings = size - length + 1  # in each surrounding
         upto = np.cumsum(strings)
-        h = _strings(buf, head["lead"], stop - size, strings, length)
-        many, _ = tx.repeated(h)
-        many |= np.repeat(head["many"].astype(bool), strings)
+        many = np.repeat(head["many"].astype(bool), strings)
+        order = np.argsort(head["lead"], kind="stable")
+        lead = head["lead"][order]
+        edges = np.flatnonzero(np.append(True, lead[1:] != lead[:-1]))
+        edges = edges[np.unique(edges // SORTED, return_index=True)[1]]
+        for i, j in zip(edges, np.append(edges[1:], len(order)), strict=True):
+            own = np.sort(order[i:j])
+            if len(own) < 2:
+                continue
+            found, _ = tx.repeated(tx.mix(equal_strings(buf, start[own], size[own], leads[own], length)))
+            total = np.cumsum(strings[own])
+            at = np.repeat(upto[own] - total, strings[own]) + np.arange(int(total[-1]))
+            many[at] |= found
         out: list[bytes | None] = []
         a = k = 0
         for x in heads:
@@ -213,8 +301,8 @@ def _compare(length: int):
 def remove_repeated_bytes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, texts: bool = True, hot: int = HOT) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, spans (start, stop), kept_sha256 and, if asked for, kept."""
     lead = min(LEAD, max(8, length // 2))
-    if length < 16:
-        raise ValueError("strings of 16 bytes at least")
+    if not 16 <= length < 1 << 16:
+        raise ValueError("strings of 16 to 65,535 bytes")
     packed = bl.pack(documents, id_col, text_col)
     n = bl.buckets_for(packed, 1.3)
     splitters = _splitters(packed, n, length, lead)
@@ -243,7 +331,7 @@ def remove_repeated_bytes(documents: DataFrame, *, id_col: str = "doc_id", text_
             own = runs[i:j]
             head = np.empty(j - i, _HEAD)
             sizes = block.last[own] + length - block.first[own]
-            head["lead"], head["n"], head["many"] = block.lead[own], sizes, many[i:j]
+            head["lead"], head["n"], head["at"], head["many"] = block.lead[own], sizes, block.at[own] - block.first[own], many[i:j]
             yield b, _AROUND + z.compress((j - i).to_bytes(4, "little") + head.tobytes() + _gather(buf, block.first[own], sizes).tobytes())
 
     def cut(table: pa.Table, replies: list) -> pa.RecordBatch:
