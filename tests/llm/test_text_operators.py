@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from weft.llm import blocks as bl
 from weft.llm import textops as tx
 from weft.llm.decontaminate import decontaminate
 from weft.llm.licenses import KNOWN, MIT, known_licenses, scan_licenses
@@ -20,7 +21,7 @@ from weft.llm.mixing import mix_sources
 from weft.llm.quality import measure, repetition
 from weft.llm.suffixes import equal_strings, multikey_order, remove_repeated_bytes
 from weft.llm.tokenstore import Encoder, Shard, ShardWriter, key_of, store_tokens
-from weft.llm.windows import remove_repeated
+from weft.llm.windows import levels, remove_repeated
 
 SPACE = r"[^\x20\x09-\x0d]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -171,7 +172,27 @@ def brute_windows(rows, n):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("n", [13, 4, 2])
+def test_levels_double():
+    assert levels(13) == [4, 8, 13] and levels(100) == [4, 8, 16, 32, 64, 100] and levels(4) == [4] and levels(2) == [2] and levels(8, 2) == [2, 4, 8]
+
+
+def test_doubling_ends_without_candidates(spark, monkeypatch):
+    """Texts that share six words and no more: nothing survives eight, so no further level is taken."""
+    rows = [(i, " ".join([f"u{i}x{k}" for k in range(50)] + [f"s{k}" for k in range(6)] + [f"v{i}x{k}" for k in range(50)]), "s", "x") for i in range(4)]
+    asked = []
+    exchange = bl.exchange
+    monkeypatch.setattr(bl, "exchange", lambda *a: asked.append(a) or exchange(*a))
+    got = remove_repeated(docs(spark, rows), window=40, texts=False).collect()
+    assert all(r.n_removed == 0 for r in got) and len(asked) <= 3 < len(levels(40))  # four words, eight at most, whole spans (of which there are none)
+
+
+def test_very_long_text_of_words(spark):
+    words = [f"w{i}" for i in range(120_000)]
+    rows = [(1, " ".join(words), "s", "x"), (2, " ".join(["new", *words[50_000:50_100], "end"]), "s", "x")]
+    assert {r.doc_id: r.n_removed for r in remove_repeated(docs(spark, rows), texts=False).collect()} == {1: 0, 2: 100}
+
+
+@pytest.mark.parametrize("n", [13, 4, 2, 40])
 def test_repeated_windows(spark, n):
     rows = odd_rows(n)
     got = [tuple(r) for r in remove_repeated(docs(spark, rows, 4), window=n).collect()]
