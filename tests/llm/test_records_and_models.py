@@ -2,14 +2,14 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weft.llm import warc
-from weft.llm.language import identify, train
+from weft.llm.language import identify, rejection_bounds, train
 from weft.llm.mixing import mix_sources
 from weft.llm.nearjoin import DEPTH, TREES, drop_near_duplicates, forest_links, labels, matched, near_duplicates, pilot_recall, recall_of, shortened
 
@@ -47,6 +47,22 @@ def test_captures_of_nothing_and_strays(spark):
     assert len(got) == 1 and got[0].metadata is None and got[0].request is None
 
 
+def test_archives_are_read_once(spark):
+    long = "x" * 3_000_000 + "é"
+    pages = spark.createDataFrame([(1, "http://a/", long), (2, "http://b/", long), (3, "http://c/", "y")], "page_id long, url string, html string")
+    got = warc.archive_and_assemble(pages, payloads=False)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert {(r.response.kind, r.response.payload_bytes) for r in got.collect()} == {("response", 3_000_002), ("revisit", 3_000_002), ("response", 1)}
+
+
+def test_records_are_led_through_another_record(spark):
+    rows = [("<p>", "response", None), ("<q>", "request", "<p>"), ("<m>", "metadata", "<q>"), ("<m2>", "metadata", "<p>"), ("<p2>", "revisit", None), ("<q2>", "request", "<p2>"), (None, "metadata", None)]
+    for parts in (1, 4):
+        got = warc.assemble(spark.createDataFrame(rows, "record_id string, kind string, concurrent_to string").repartition(parts)).collect()
+        assert {(r.capture_id, r.request.record_id, r.metadata and r.metadata.record_id) for r in got} == {("<p>", "<q>", "<m2>" if "<m2>" < "<m>" else "<m>"), ("<p2>", "<q2>", None)}
+
+
 # ---- language ----
 
 
@@ -82,6 +98,82 @@ def test_probabilities_sum_to_one(spark):
     assert np.all(total <= 1.0 + 1e-9) and np.all(total > 0.9)  # the rest is for unseen characters
 
 
+def brute_kneser_ney(texts, order, alphabet):
+    """p(gram) by the published recursion, in dictionaries of tuples."""
+    pads = [(0x110000,) * (order - 1) + tuple(map(ord, " ".join(t.lower().split()))) for t in texts]
+    grams = {n: Counter(p[k - n + 1 : k + 1] for p in pads for k in range(order - 1, len(p))) for n in range(1, order + 1)}
+    counts = {order: grams[order]}
+    for n in range(1, order):
+        counts[n] = Counter(g[1:] for g in grams[n + 1])  # distinct left neighbours
+    discount = {}
+    for n, c in counts.items():
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[n] = min(0.95, ones / (ones + 2 * twos)) if ones else 0.5
+    total = {n: Counter() for n in counts}
+    kinds = {n: Counter() for n in counts}
+    for n, c in counts.items():
+        for g, v in c.items():
+            total[n][g[:-1]] += v
+            kinds[n][g[:-1]] += 1
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1.0 / alphabet
+        seen = total[n][gram[:-1]]
+        low = p(gram[1:])
+        return low if not seen else max(counts[n][gram] - discount[n], 0) / seen + discount[n] * kinds[n][gram[:-1]] / seen * low
+
+    return p
+
+
+def test_models_are_kneser_ney(spark):
+    from weft.llm.language import ORDER, _score_grams
+
+    rows = sentences(8, 90)
+    # Calibration texts are held back by their hash; all others must be counted.
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(df, sample_key=F.col("doc_id"))
+    held = {r.doc_id for r in df.where((F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)) < 0.1).collect()}
+    used = [(t, lang) for k, t, lang in rows if k not in held]
+    alphabet = len({c for t, _ in used for c in t}) + 1
+    rng = np.random.default_rng(1)
+    text = [0x110000] * 3 + [ord(c) for t, _ in used[:30] for c in t] + rng.integers(97, 123, 300).tolist()
+    grams = np.array([text[k : k + ORDER] for k in range(len(text) - ORDER + 1)], np.uint32)
+    got = np.exp2(-_score_grams(grams, model.models))
+    for k, lang in enumerate(model.languages):
+        p = brute_kneser_ney([t for t, own in used if own == lang], ORDER, alphabet)
+        assert np.allclose(got[:, k], [p(tuple(g)) for g in grams.tolist()], rtol=1e-9)
+
+
+def test_rejection_holds_against_bad_calibration_texts(spark):
+    rng = np.random.default_rng(3)
+    entropy, lengths = rng.normal(2.5, 0.1, 600), rng.integers(300, 3000, 600)
+    clean = rejection_bounds(entropy, lengths, np.zeros(600, int), 2)
+    entropy[:4] = 12.0  # texts with a wrong label
+    bad = rejection_bounds(entropy, lengths, np.zeros(600, int), 2)
+    assert clean.shape == bad.shape == (2, 32) and (bad[0] - clean[0]).max() < 0.5 and bad[0, 9] < 5
+    assert (np.diff(bad[0]) <= 0).all()  # short texts have more room
+
+
+def test_junk_is_rejected(spark):
+    model = train(spark.createDataFrame(sentences(5, 600), "doc_id long, text string, lang string"), sample_key=F.col("doc_id"))
+    rng = random.Random(4)
+    junk = ["".join(rng.choice("qxzjkvw0123456789+/=") for _ in range(800)), "Съешь же ещё этих мягких французских булок " * 20, "0x3f 0x7a; mov eax, ebx; " * 40, "<div class='b7'><a href='/q?x=1'></a></div>" * 20]
+    df = spark.createDataFrame(list(enumerate(junk)) + [(9, t) for _, t, _ in sentences(6, 40)], "doc_id long, text string")
+    got = identify(df, model).collect()
+    assert {r.doc_id for r in got if r.rejected} == {0, 1, 2, 3} and model.false_rejection <= 0.05
+
+
+def test_identify_odd_tables(spark):
+    model = train(spark.createDataFrame(sentences(5, 60), "doc_id long, text string, lang string"), sample_key=F.col("doc_id"))
+    assert identify(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+    long = " ".join(t for _, t, lang in sentences(7, 20_000) if lang == "en")
+    assert len(long) > 1_000_000
+    got = identify(spark.createDataFrame([("a", long, 1), ("a", long, 2)], "doc_id string, text string, lang_pred int"), model).collect()
+    assert [(r.doc_id, r.lang_pred, r.rejected) for r in got] == [("a", "en", False)] * 2
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "the", None)], "doc_id long, text string, lang string")
     model = train(df, sample_key=F.col("doc_id"))

@@ -18,7 +18,7 @@ from weft.llm import textops as tx
 from weft.llm.decontaminate import decontaminate
 from weft.llm.licenses import KNOWN, MIT, known_licenses, scan_licenses
 from weft.llm.mixing import mix_sources
-from weft.llm.quality import measure, repetition
+from weft.llm.quality import LINE_LIMIT, NGRAM_LIMITS, measure, repetition
 from weft.llm.suffixes import equal_strings, multikey_order, remove_repeated_bytes
 from weft.llm.tokenstore import Encoder, Shard, ShardWriter, key_of, store_tokens
 from weft.llm.windows import levels, remove_repeated
@@ -144,6 +144,19 @@ def test_mixing_targets_and_copies(spark, fan):
     assert [key(r) for r in sorted(got, key=key)] == [key(r) for r in sorted(again, key=key)]
 
 
+def test_mixing_of_many_equal_rows(spark):
+    """Equal rows are spread over the leaves, whatever partitions they come in."""
+    rows = [(None, "a b c", "s", "x")] * 20_000 + [(i, "w " * (i % 9 + 1), "t", "x") for i in range(500)]
+    sums = []
+    for parts in (2, 5):
+        got = mix_sources(docs(spark, rows, parts))
+        assert got.where("taken > 2 * size").isEmpty()
+        sums.append(sorted(map(tuple, got.groupBy("doc_id", "source_size", "taken").count().collect()), key=str))
+        one = got.where("doc_id is null").agg(F.sum("taken"), F.max("target"), F.count_distinct("taken")).first()
+        assert abs(one[0] - one[1]) <= 3 and one[2] <= 3
+    assert sums[0] == sums[1]
+
+
 def test_mixing_of_nothing(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
     alone = mix_sources(docs(spark, [(1, None, None, "x"), (2, "  ", "a", "x")])).collect()
@@ -295,6 +308,34 @@ def test_quality_counts(spark):
     assert kept[901] and not kept[900] and not any(g[-1] and g[-2] for g in got)
 
 
+def brute_shares(t, sizes):
+    """Word characters in repeated n-grams by n, and in later copies of lines."""
+    w = re.findall(SPACE, t or "")
+    out = []
+    for n in sizes:
+        grams = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        hit = {j for i in range(len(w) - n + 1) if grams[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+        out.append(sum(len(w[j]) for j in hit))
+    seen, lines = set(), 0
+    for line in (t or "").split("\n"):
+        chars = sum(map(len, re.findall(SPACE, line)))
+        if chars:
+            lines += chars * (line in seen)
+            seen.add(line)
+    return out, lines
+
+
+def test_quality_verdict(spark):
+    rows = odd_rows(6, 120) + [(800 + k, " ".join(random.Random(k).choice("abcdefgh") for _ in range(60 + 10 * k)), "s", "x") for k in range(20)] + [(900, "w " * 100_000, "s", "x"), (901, " ".join(map(str, range(100_000))), "s", "x")]
+    got = {(r.doc_id, r.n_words): (list(r.dup_ngram_chars), r.dup_line_chars, r.kept) for r in repetition(docs(spark, rows)).collect()}
+    for i, t, *_ in rows:
+        shares, lines = brute_shares(t, range(5, 11))
+        q = brute_quality(t)
+        failed = any(s > limit * q[1] for s, limit in zip(shares, NGRAM_LIMITS.values())) or lines > LINE_LIMIT * q[1]
+        assert got[i, q[0]] == (shares, lines, not (failed or q[0] < 50 or 100 * q[4] > 50 * q[0]))
+    assert repetition(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_chunks_do_not_change_counts():
     texts = [t or "" for _, t, *_ in odd_rows(9)]
     one = [measure(b, o, (5,)) for _, _, b, o in tx.chunks(pa.array(texts), 1 << 20)]
@@ -349,6 +390,16 @@ def test_shard_round_trip_and_lookup():
         Shard(b"short")
 
 
+def test_bloom_hashes_are_independent():
+    keys = [key_of(k) for k in range(20_000)]
+    w = ShardWriter(2)
+    for k in keys[:10_000]:
+        w.add(k, np.zeros(1, np.uint32))
+    shard = Shard(w.finish())
+    assert all(shard.may_hold(k) for k in keys[:10_000])
+    assert sum(shard.may_hold(k) for k in keys[10_000:]) < 150  # ten bits a key: 0.8 % in theory
+
+
 def test_store_tokens(spark, vocabulary):
     rows = odd_rows(3)
     got = store_tokens(docs(spark, rows), vocabulary).collect()

@@ -24,10 +24,11 @@ from weft.shared import materialise, small_enough
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Bits of a packed fingerprint that hold the position in the text.
-POSITION_BITS = 26
-#: Rows of a benchmark-side table up to which it is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bits of a packed fingerprint that hold the position in the text: as many as an array's places take.
+#: The other 32 are of its hash; what they let through is compared as text.
+POSITION_BITS = 31
+#: Rows, and characters, of the benchmark's windows up to which they are broadcast.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -86,7 +87,7 @@ def decontaminate(
 
     spans are the maximal hit runs as (start, stop) in words.  Benchmark-side
     tables are broadcast while they have at most ``broadcast_rows`` rows and
-    are joined by shuffle beyond.  Memory of a task: one document's words.
+    ``BROADCAST_CHARS`` characters, and are joined by shuffle beyond.  Memory of a task: one document's words.
     """
     windows = materialise(_item_windows(benchmark, item_col, item_text_col, window))
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most ``window`` values
@@ -95,7 +96,7 @@ def decontaminate(
     for size, (kk, _) in parts.items():
         own = windows.where(F.col("size") == size).select(F.explode(fingerprints(F.col("gram"), size, kk)).alias("p")).select(F.lit(size).alias("f_size"), hash_of(F.col("p")).alias("f_hash")).distinct()
         prints = own if prints is None else prints.unionByName(own)
-    small = small_enough(windows, broadcast_rows)
+    small = small_enough(windows, broadcast_rows) and (windows.agg(F.sum(F.length(F.array_join("gram", " ")) + F.length("item"))).first()[0] or 0) <= BROADCAST_CHARS
     near = F.broadcast if small else lambda x: x
 
     docs = documents.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))

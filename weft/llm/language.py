@@ -10,9 +10,11 @@ cross-entropy per character.
 Training takes a bounded sample: of each language the texts of smallest hash,
 ``sample_docs`` in expectation, from the rows that the caller labels.  The
 n-gram counts that reach the driver are bounded by that sample, and so is the
-broadcast model.  A tenth of the sample calibrates rejection: the rejection
-bound is the greatest cross-entropy that any of its texts of a length has,
-plus a margin, so that texts like the labelled ones stay.
+broadcast model.  A tenth of the sample calibrates rejection: the bound of a
+language and length is a high quantile of the cross-entropies that its texts of
+that length or longer have, plus a margin, so that texts like the labelled ones
+stay and a few bad texts don't open it; ``false_rejection`` tells which share
+of the calibration texts is rejected.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and rejected; ties go to the least language; without a labelled row everything
@@ -42,8 +44,13 @@ CALIBRATION = 0.1
 #: Characters of texts joined for scoring at once.
 CHUNK_CHARS = 1 << 17
 #: Distinct n-grams outside all models whose scores a worker keeps.
-CACHE = 1 << 20
+CACHE = 1 << 19
 UNDETERMINED = "und"
+#: Rejection: quantile of the calibration texts, texts that a quantile needs, what the quantile is multiplied by,
+#: bits a character added, and more of them for short texts, over the square root of the length.
+QUANTILE, FEW, MARGIN, SLACK, SHORT = 0.99, 100, 1.15, 0.5, 8.0
+#: Classes of length, by powers of two.
+LENGTHS = 32
 _LETTER = regex.compile(r"\p{L}")
 _U = np.uint64
 _START = 0x110000  # precedes each text
@@ -136,7 +143,8 @@ class Identifier:
     models: list[Model]
     table: np.ndarray  # sorted hashes of highest order
     scores: np.ndarray  # one row each, a column per language
-    bounds: np.ndarray  # of cross-entropy, by log2 of length
+    bounds: np.ndarray  # of cross-entropy, by language and log2 of length
+    false_rejection: float = 0.0  # of the calibration texts
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy per character of each text in each language, lengths)."""
@@ -194,7 +202,7 @@ class Identifier:
             # posterior of the best under equal priors, from the whole text
             gap = (h - low[:, None]) * lengths[:, None]
             p = 1.0 / np.exp2(-np.minimum(gap, 60.0)).sum(1)
-            bound = self.bounds[np.minimum(np.log2(np.maximum(lengths, 1)).astype(int), len(self.bounds) - 1)]
+            bound = self.bounds[best, _length_class(lengths)]
             for r, k in enumerate(able[i:j]):
                 lang[k] = self.languages[best[r]]
             score[able[i:j]], entropy[able[i:j]], rejected[able[i:j]] = p, low, low > bound
@@ -294,23 +302,41 @@ def train(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang
         models.append(fit(tables, alphabet))
         tops.append(tables)
     if not models:
-        return Identifier([], [], np.zeros(0, _U), np.zeros((0, 0), np.float32), np.zeros(1))
-    found = Identifier(languages, models, np.zeros(1, _U), np.zeros((1, len(models)), np.float32), np.full(1, np.inf))
+        return Identifier([], [], np.zeros(0, _U), np.zeros((0, 0), np.float32), np.zeros((0, LENGTHS)))
+    found = Identifier(languages, models, np.zeros(1, _U), np.zeros((1, len(models)), np.float32), np.full((len(models), LENGTHS), np.inf))
     # The side-by-side table starts from the calibration texts and grows by what workers meet.
-    bounds = np.full(32, -np.inf)
     texts = [t for t in held if _LETTER.search(t)]
-    for k in range(0, len(texts), 64):
-        h, lengths = found.entropies(texts[k : k + 64])
-        np.maximum.at(bounds, np.log2(np.maximum(lengths, 1)).astype(int), h.min(1))
-    # A length takes the greatest bound of its own and all longer ones; short texts vary more, by the
-    # square root of their length.
-    best = np.maximum.accumulate(bounds[::-1])[::-1]
-    best[best == -np.inf] = bounds.max()
-    slack = 0.5 + 8.0 / np.sqrt(2.0 ** np.arange(32))
-    found.bounds = best * 1.15 + slack if len(texts) else np.full(32, np.inf)
+    if texts:
+        parts = [found.entropies(texts[k : k + 64]) for k in range(0, len(texts), 64)]
+        h, lengths = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        found.bounds = rejection_bounds(h.min(1), lengths, h.argmin(1), len(languages))
+        found.false_rejection = float((h.min(1) > found.bounds[h.argmin(1), _length_class(lengths)]).mean())
     return found
 
 
+def _length_class(lengths: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(lengths, 1)).astype(int), LENGTHS - 1)
+
+
+def rejection_bounds(entropy: np.ndarray, lengths: np.ndarray, language: np.ndarray, languages: int) -> np.ndarray:
+    """(language, length class) greatest cross-entropy of a text that stays, from calibration texts.
+
+    A class takes the quantile of its own texts, or of all that are as long or
+    longer, or of the language, or of all languages: the first of these with
+    ``FEW`` texts; and no less than a longer class takes.  Short texts vary
+    more, by the square root of their length.
+    """
+    at = _length_class(lengths)
+    out = np.empty((languages, LENGTHS))
+    for k in range(languages):
+        own = language == k
+        for c in range(LENGTHS):
+            some = next((m for m in (own & (at == c), own & (at >= c), own) if m.sum() >= FEW), np.ones(len(own), bool))
+            out[k, c] = np.quantile(entropy[some], QUANTILE, method="lower")
+    out = np.maximum.accumulate(out[:, ::-1], axis=1)[:, ::-1]
+    return out * MARGIN + SLACK + SHORT / np.sqrt(2.0 ** np.arange(LENGTHS))
+
+
 def identify(documents: DataFrame, model: Identifier, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, lang_pred, score, entropy (bits a character), rejected."""
     spark = documents.sparkSession

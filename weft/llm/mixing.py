@@ -11,8 +11,10 @@ most one fraction, which is drawn.
 
 Defined results: null texts and texts without words have size 0 and take
 nothing; a null source is a source of its own, last in order; repeated ids are
-told apart by their sizes, equal rows get any of the equal outcomes; a
-document's draws depend on its id, size and the seed, so reruns agree.
+told apart by their sizes, and rows alike in id, source and size by a number
+from 0 on, so that any number of them spreads over the leaves: they get any of
+the equal outcomes.  A document's draws depend on its id, size, that number
+and the seed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -63,6 +65,27 @@ def _draw(seed: int, level: int, *cols):
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(level), *cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows(source, key, row, ..) with ``twin``: the place from 0 among rows of one source and key.
+
+    Rows are counted per input partition, which ``row`` tells, and the counts
+    are summed; only rows that have twins are sorted, each partition's apart.
+    """
+    twins = materialise(rows.groupBy("source", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("source").alias("t_source"), F.col("key").alias("t_key")))
+    if twins.isEmpty():
+        return rows.withColumn("twin", F.lit(0).cast("long"))
+    alike = F.col("source").eqNullSafe(F.col("t_source")) & (F.col("key") == F.col("t_key"))
+    part = F.shiftright("row", 33)  # as monotonically_increasing_id numbers them
+    own = rows.join(twins, alike, "left_semi").select("row", "source", "key", part.alias("part"))
+    counts = own.groupBy("source", "key", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source", "key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col("source").alias("c_source"), F.col("key").alias("c_key"), F.col("part").alias("c_part"), F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("source", "key", "part").orderBy("row")) - 1
+    same = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("key") == F.col("c_key")) & (F.col("part") == F.col("c_part"))
+    placed = own.withColumn("place", place).join(counts, same).select(F.col("row").alias("p_row"), (F.col("place") + F.col("before")).cast("long").alias("twin"))
+    return rows.join(placed, F.col("row") == F.col("p_row"), "left").drop("p_row").withColumn("twin", F.coalesce("twin", F.lit(0).cast("long")))
+
+
 _ITEM = "struct<key:bigint,id:{id},row:bigint,size:bigint,p:double>"
 
 
@@ -135,7 +158,8 @@ def mix_sources(
 
     kind = dict(sizes.dtypes)["id"]
     item = _ITEM.format(id=kind)
-    key = F.xxhash64(F.lit(seed), F.col("id"), F.col("size"))
+    open_ = _numbered(open_.withColumn("key", F.xxhash64(F.lit(seed), F.col("id"), F.col("size"))))
+    key = F.when(F.col("twin") == 0, F.col("key")).otherwise(F.xxhash64("key", "twin"))
     leaves = F.ceil(F.col("n_docs") / fan)
     level = open_.select("source", F.pmod(F.xxhash64(key, F.lit(1)), leaves).alias("node"), F.struct(key.alias("key"), "id", "row", "size", "p").cast(item).alias("item"))
     settled, depth, width = None, 0, max(1, -(-most // fan))

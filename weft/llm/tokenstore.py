@@ -26,6 +26,7 @@ Retries write other file names and only files in the manifest are read.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 import uuid
@@ -52,7 +53,7 @@ FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK_IDS, SHARD_BYTES, BLOOM_BITS = 1 << 16, 64 << 20, 10
 HASHES = 7
 #: Segments whose ids a Python worker keeps.
-CACHE = 2_000_000
+CACHE = 600_000
 #: Bytes of text encoded together.
 ENCODE_BYTES = 1 << 21
 
@@ -88,8 +89,8 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 def _bloom_bits(key: bytes, m: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1
-    return [(a + i * b) % m for i in range(HASHES)]
+    a, b = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
+    return [(a + i * (b | 1)) % m for i in range(HASHES)]
 
 
 class ShardWriter:

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weft.llm import files
 from weft.llm.textops import modest_batches
@@ -183,18 +184,23 @@ def read_archives(manifest: DataFrame, *, payloads: bool = True) -> DataFrame:
 def assemble(rows: DataFrame) -> DataFrame:
     """One row per capture: capture_id, request, response, metadata (structs).
 
-    Records that name another record, which names the capture, are led there
-    by a join; then a capture's records meet in one aggregation, at most one
-    of a kind each (the least record id, if there are more).
+    The records are read once.  Each request or metadata record goes to the
+    record it names, and once more, without its content, to its own id: there
+    it tells those that name it which capture it belongs to.  Then a capture's
+    records meet in one aggregation, at most one of a kind each (the least
+    record id, if there are more).
     """
-    links = rows.where("concurrent_to is not null").select(F.col("record_id").alias("via"), F.col("concurrent_to").alias("root"))
     main = F.col("kind").isin("response", "revisit")
-    named = rows.join(links.hint("merge"), rows.concurrent_to == links.via, "left")  # grows with the archives: never broadcast
-    key = F.when(main, F.col("record_id")).otherwise(F.coalesce("root", "concurrent_to"))
-    parts = [c for c in rows.columns]
-    whole = F.struct(*parts)
-    pick = lambda cond: F.min_by(F.when(cond, whole), F.when(cond, F.col("record_id")))
-    grouped = named.withColumn("capture_id", key).groupBy("capture_id").agg(pick(F.col("kind") == "request").alias("request"), pick(main).alias("response"), pick(F.col("kind") == "metadata").alias("metadata"))
+    whole = F.struct(*rows.columns)
+    entry = lambda at, root, what: F.struct(at.alias("at"), root.alias("root"), what.alias("whole"))
+    nothing, no_root = F.lit(None).cast(rows.select(whole.alias("w")).schema["w"].dataType), F.lit(None).cast("string")
+    own = F.array(entry(F.col("record_id"), no_root, whole))
+    side = F.array(entry(F.col("concurrent_to"), no_root, whole), entry(F.col("record_id"), F.col("concurrent_to"), nothing))
+    entries = rows.select(F.explode(F.when(main, own).otherwise(side)).alias("e")).select("e.at", "e.root", "e.whole").where("at is not null")
+    led = entries.withColumn("root", F.min("root").over(Window.partitionBy("at"))).where("whole is not null")
+    kind, key = F.col("whole.kind"), F.when(F.col("whole.kind").isin("response", "revisit"), F.col("at")).otherwise(F.coalesce("root", "at"))
+    pick = lambda cond: F.min_by(F.when(cond, F.col("whole")), F.when(cond, F.col("whole.record_id")))
+    grouped = led.withColumn("capture_id", key).groupBy("capture_id").agg(pick(kind == "request").alias("request"), pick(kind.isin("response", "revisit")).alias("response"), pick(kind == "metadata").alias("metadata"))
     return grouped.where("response is not null")
 
 
