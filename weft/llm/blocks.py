@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.textops import modest_batches
+from weft.llm.textops import modest_batches, tidy
 from weft.shared import materialise
 
 #: Raw bytes of text from which a block is closed.
@@ -61,7 +61,7 @@ def pack(documents: DataFrame, id_col: str, text_col: str, block_bytes: int = BL
             yield close()
 
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return materialise(docs.mapInArrow(run, "block long, n_bytes long, blob binary"))
+    return materialise(docs.mapInArrow(tidy(run), "block long, n_bytes long, blob binary"))
 
 
 def unpack(blob: bytes) -> pa.Table:
@@ -106,8 +106,8 @@ def exchange(blocks: DataFrame, emit: Emit, resolve: Resolve) -> DataFrame:
         return pd.DataFrame({"block": frame.block.iloc[keep].to_numpy(np.int64), "bucket": frame.bucket.iloc[keep].to_numpy(np.int32), "data": [got[i] for i in keep]})
 
     modest_batches(blocks.sparkSession, 256)
-    rows = blocks.mapInArrow(send, "bucket int, block long, data binary")
-    solved = rows.groupBy("bucket").applyInPandas(answer, "block long, bucket int, data binary")
+    rows = blocks.mapInArrow(tidy(send), "bucket int, block long, data binary")
+    solved = rows.groupBy("bucket").applyInPandas(tidy(answer), "block long, bucket int, data binary")
     return solved.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("replies"))
 
 
@@ -127,7 +127,7 @@ def finish(blocks: DataFrame, run: Callable[[pa.Table, list[dict[int, bytes]]],
             for r in range(batch.num_rows):
                 yield run(unpack(batch.column(1)[r].as_py()), _replies(batch, r, 2))
 
-    return blocks.mapInArrow(each, schema)
+    return blocks.mapInArrow(tidy(each), schema)
 
 
 def split(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:

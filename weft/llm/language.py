@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.textops import mix, modest_batches
+from weft.llm.textops import mix, modest_batches, tidy
 
 ORDER = 4
 #: Texts of each language that a model is fitted on, in expectation, and the
@@ -284,7 +284,7 @@ def train(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang
                         whole = [pa.array(t[c].astype(np.uint64).view(np.int64), pa.int64()) for c in names[2:5]]
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(t["own"])), pa.array(np.full(len(t["own"]), n), pa.int32()), *whole, pa.array(t["count"], pa.int64())], names=names)
 
-    counts = sample.mapInArrow(count, "lang string, n int, own long, context long, tail long, count long")
+    counts = sample.mapInArrow(tidy(count), "lang string, n int, own long, context long, tail long, count long")
     counts = counts.groupBy("lang", "n", "own").agg(F.first("context").alias("context"), F.first("tail").alias("tail"), F.sum("count").alias("count")).toArrow()
     held = sample.where("held").select("text").toArrow()["text"].to_pylist()
 
@@ -337,8 +337,12 @@ def rejection_bounds(entropy: np.ndarray, lengths: np.ndarray, language: np.ndar
     return out * MARGIN + SLACK + SHORT / np.sqrt(2.0 ** np.arange(LENGTHS))
 
 
-def identify(documents: DataFrame, model: Identifier, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, lang_pred, score, entropy (bits a character), rejected."""
+def identify(documents: DataFrame, model: Identifier, *, id_col: str = "doc_id", text_col: str = "text", text_in_id: bool = False) -> DataFrame:
+    """One row per document: id, lang_pred, score, entropy (bits a character), rejected.
+
+    text_in_id: the id is a struct and text_col one of its fields, so that a
+    caller that carries whole rows as ids sends each text once.
+    """
     spark = documents.sparkSession
     modest_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -346,9 +350,10 @@ def identify(documents: DataFrame, model: Identifier, *, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            lang, score, entropy, rejected = own.identify(batch.column(1).to_pylist())
+            texts = batch.column(0).field(text_col) if text_in_id else batch.column(1)
+            lang, score, entropy, rejected = own.identify(texts.to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(entropy), pa.array(rejected)], names=["id", "lang_pred", "score", "entropy", "rejected"])
 
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = documents.select(F.col(id_col).alias("id")) if text_in_id else documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([docs.schema["id"]]).add("lang_pred", "string").add("score", "double").add("entropy", "double").add("rejected", "boolean")
-    return docs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)

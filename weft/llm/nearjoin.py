@@ -129,7 +129,7 @@ def _sketches(documents: DataFrame, id_col: str, text_col: str, n: int, trees: i
                 )
 
     docs = _nodes(documents, id_col, text_col)
-    return docs.mapInArrow(run, "node long, check long, id long, n_shingles long, digest binary, label binary")
+    return docs.mapInArrow(tx.tidy(run), "node long, check long, id long, n_shingles long, digest binary, label binary")
 
 
 def _identity(id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -169,7 +169,7 @@ def pilot_recall(documents: DataFrame, share: float, *, text_col: str = "text",
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(depth + 1), pa.int32()), pa.array(deepest, pa.int64())], names=["depth", "pairs"])
 
     some = documents.where(F.pmod(F.xxhash64(text_col, F.lit(11)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(text_col)
-    found = {r[0]: r[1] for r in some.mapInArrow(run, "depth int, pairs long").groupBy("depth").agg(F.sum("pairs")).collect()}
+    found = {r[0]: r[1] for r in some.mapInArrow(tx.tidy(run), "depth int, pairs long").groupBy("depth").agg(F.sum("pairs")).collect()}
     total = sum(found.values())
     return [sum(v for d, v in found.items() if d >= at) / total if total else 1.0 for at in range(1, depth + 1)]
 
@@ -258,10 +258,10 @@ def forest_links(classes: DataFrame, trees: int, depth: int, stop: int) -> DataF
                 before = (k[-1], r[-1], v[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], names=["src", "dst", "matched"])
 
-    rows = classes.select("class", "label").mapInArrow(combine, "key long, rest long, class long, other long")
+    rows = classes.select("class", "label").mapInArrow(tx.tidy(combine), "key long, rest long, class long, other long")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "rest", "class")
-    links = dealt.mapInArrow(link, "src long, dst long, matched long")
+    links = dealt.mapInArrow(tx.tidy(link), "src long, dst long, matched long")
     return links.groupBy("src", "dst").agg(F.max("matched").alias("matched"))
 
 
@@ -404,7 +404,7 @@ def _verified(documents: DataFrame, members: DataFrame, id_col: str, text_col: s
     texts = _nodes(documents, id_col, text_col).select("node", "check", "text")
     rows = texts.join(wanted, (F.col("node") == F.col("w_node")) & (F.col("check") == F.col("w_check"))).select("task", "class", "component", "block", "left", "right", "text")
     rows = rows.dropDuplicates(["task", "class", "left", "right"])  # repeated rows bring the same text
-    return rows.groupBy("task").applyInArrow(_verify(threshold, shingle), "class long, links long, root long")
+    return rows.groupBy("task").applyInArrow(tx.tidy(_verify(threshold, shingle)), "class long, links long, root long")
 
 
 def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

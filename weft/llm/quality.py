@@ -99,7 +99,7 @@ def repetition(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *[pa.array(got[n], pa.int64()) for n in names], lists], names=["id", *names, "dup_ngram_chars"])
 
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    got = docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, {_COLUMNS}")
+    got = docs.mapInArrow(tx.tidy(run), f"id {dict(docs.dtypes)['id']}, {_COLUMNS}")
     over = F.lit(False)
     for k, limit in enumerate(limits.values()):
         over |= F.get("dup_ngram_chars", F.lit(k)) > F.lit(limit) * F.col("word_chars")

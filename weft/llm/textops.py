@@ -8,12 +8,15 @@ prefix sums, passed through a 64-bit finaliser.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_LIBRARY = ctypes.CDLL(None)
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -188,6 +191,35 @@ def per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBRARY, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """run (over batches or for a group) that gives memory back at its end."""
+
+    @functools.wraps(run)
+    def one(rows):
+        out = run(rows)
+        if not isinstance(out, Iterator):
+            give_back()
+            return out
+        return _to_the_end(out)
+
+    return one
+
+
+def _to_the_end(batches: Iterator) -> Iterator:
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 #: Bytes of an Arrow batch, from which Spark closes it.
 BATCH_BYTES = 4 << 20
 

@@ -50,12 +50,12 @@ from weft.shared import fresh_path, materialise
 MAGIC = b"WEFTSST1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 #: Ids in a block, bytes in a shard (before compression), bits a key in the filter.
-BLOCK_IDS, SHARD_BYTES, BLOOM_BITS = 1 << 16, 64 << 20, 10
+BLOCK_IDS, SHARD_BYTES, BLOOM_BITS = 1 << 16, 32 << 20, 10
 HASHES = 7
 #: Segments whose ids a Python worker keeps.
 CACHE = 600_000
 #: Bytes of text encoded together.
-ENCODE_BYTES = 1 << 21
+ENCODE_BYTES = 1 << 19
 
 
 # ---- format -----------------------------------------------------------------
@@ -409,13 +409,13 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, *, id_col: s
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = docs.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    return materialise(spread.mapInArrow(run, _manifest_schema()))
+    return materialise(spread.mapInArrow(tx.tidy(run), _manifest_schema()))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """One row per document: id, start, n_tokens, ids_crc32, in no order.
 
-    The manifest (a row for each 64 MB of ids) is ordered by first key in one
+    The manifest (a row for each 32 MB of ids) is ordered by first key in one
     task to give each shard its first position; the shards are read by all.
     """
     order = Window.orderBy("first", "last", "path").rowsBetween(Window.unboundedPreceding, -1)
@@ -430,7 +430,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 yield out
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(parts, "path").mapInPandas(run, "id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(parts, "path").mapInPandas(tx.tidy(run), "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def store_tokens(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, folder: str | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.llm import files
-from weft.llm.textops import modest_batches
+from weft.llm.textops import modest_batches, tidy
 from weft.shared import fresh_path, materialise
 
 #: Compressed bytes from which an archive is closed, and records in a batch of rows read.
@@ -133,7 +133,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
         if parts:
             yield close()
 
-    return materialise(marked.mapInArrow(run, "path string, records long"))
+    return materialise(marked.mapInArrow(tidy(run), "path string, records long"))
 
 
 _RECORD = "record_id string, kind string, concurrent_to string, target string, date string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
@@ -178,7 +178,7 @@ def read_archives(manifest: DataFrame, *, payloads: bool = True) -> DataFrame:
                     yield pack(rows)
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(parts, "path").mapInArrow(run, _RECORD)
+    return manifest.select("path").repartition(parts, "path").mapInArrow(tidy(run), _RECORD)
 
 
 def assemble(rows: DataFrame) -> DataFrame:
