@@ -7,7 +7,7 @@ docs.  All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,9 +21,14 @@ from weft.shared import fresh_path
 
 
 def _packed(docs: DataFrame, *columns: str) -> DataFrame:
-    """(weft_key, weft_row, ...): a hash of identifier and text, equal for repeated rows alone, the whole
+    """(weft_key, weft_row, ...): 128 bits of identifier and text, equal for repeated rows alone, the whole
     row, and the columns asked for; so no column of docs can clash with one of a stage."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("weft_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("weft_row"), *columns)
+    key = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", F.lit(7), "doc_id").alias("b"))
+    return docs.select(key.alias("weft_key"), _whole(docs).alias("weft_row"), *columns)
+
+
+def _whole(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -33,7 +38,7 @@ def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected; lang becomes the prediction."""
     model = train(docs.where(~held_out()), sample_key=F.col("doc_id"))
-    kept = identify(_packed(docs, "text"), model, id_col="weft_row").where(~F.col("rejected"))
+    kept = identify(docs.select(_whole(docs).alias("weft_row")), model, id_col="weft_row", text_in_id=True).where(~F.col("rejected"))
     return kept.select(*[(F.col("lang_pred") if c == "lang" else F.col(f"weft_row.`{c}`")).alias(c) for c in docs.columns])
 
 
