@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import forces
-from weft.model import Graph
+from weft.model import Graph, View
 from weft.operators import grip, layout, planar, quadtree, tidytree
+from weft.operators import traverse as tr
+from weft.operators.embedding import Embedding
 from weft.plans.session import Payload, Session
 from weft.sources import generators as gen
 
@@ -286,6 +288,122 @@ def test_rigid_motion_is_removed():
         assert np.abs(d).max() < (1e-9 if dim < 4 else 3.0)
 
 
+# ---- embeddings ----
+
+
+def ids(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "id long")
+
+
+def pairs(spark, *values):
+    return spark.createDataFrame(list(values), "src long, dst long")
+
+
+def test_draw_mask_and_revision(spark):
+    e = Embedding(Graph.of(spark, 4, [(0, 1), (1, 2), (2, 0)]))
+    seen = lambda: sorted(map(tuple, e.visible_pairs(pairs(spark, (0, 1), (0, 3))).collect()))
+    assert e.mask_revision == 0 and seen() == [(0, 1, True), (0, 3, False)]
+    e.hide_vertices(ids(spark, 1))
+    assert e.mask_revision == 0 and seen() == [(0, 1, True), (0, 3, False)]  # every edge of the view, whatever its ends
+    e.set_policy("both_visible")
+    assert e.mask_revision == 1 and seen() == [(0, 1, False), (0, 3, True)]  # the edge need not exist
+    assert sorted(map(tuple, e.visible_vertices(ids(spark, 0, 1, 9)).collect())) == [(0, True), (1, False), (9, False)]
+    assert sorted(map(tuple, e.drawn_edges().collect())) == [(0, 2)]
+    e.set_policy("none")
+    assert seen() == [(0, 1, False), (0, 3, False)] and e.drawn_edges().isEmpty()
+    e.clear_vertices()
+    e.reset_mask()
+    assert e.mask_revision == 3 and e.policy == "all" and e.visible_vertices(ids(spark, 1)).first().visible
+    e.notify_changed()
+    assert e.mask_revision == 4
+
+
+def test_positions_and_highlight(spark):
+    g = Graph.of(spark, 3, [(0, 1), (1, 2)])
+    e = Embedding(g, dim=3)
+    at = lambda rows: {r.id: r.pos for r in rows.collect()}
+    moves = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (7, [9.0, 9.0, 9.0])], "id long, pos array<double>")
+    e.set_positions(moves)
+    e.add_positions(moves)
+    assert e.count() == 3 and at(e.at(ids(spark, 0, 1))) == {0: [0.0] * 3, 1: [2.0, 4.0, 6.0]}
+    with pytest.raises(ValueError):
+        e.set_positions(spark.createDataFrame([(1, [1.0])], "id long, pos array<double>"))
+    assert not e.has_highlight()
+    e.set_highlight(View(g, ids(spark, 0, 1)))
+    assert e.has_highlight() and e.highlight.vertices().count() == 2
+    e.clear_highlight()
+    assert e.highlight is None
+
+
+def test_embeddings_grow(spark):
+    from weft.operators import views as vw
+
+    g = Graph.of(spark, 3, [(0, 1), (1, 2)])
+    start = spark.createDataFrame([(0, [5.0, 5.0])], "id long, pos array<double>")
+    for view in (View(g, ids(spark, 0, 1)), vw.make_edge_subset(View(g, ids(spark, 0, 1)))):
+        e = Embedding(view, start)
+        e.add_vertices(spark.createDataFrame([(3, "new")], "id long, data string"))
+        assert e.mask_revision == 1 and {r.id for r in e.view.vertices().collect()} == {0, 1, 3}
+        assert {r.id: r.pos for r in e.positions.collect()} == {0: [5.0, 5.0], 1: [0.0, 0.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+        assert e.visible_vertices(ids(spark, 3)).first().visible
+        e.add_edges(spark.createDataFrame([(0, 3, 0)], "o long, src long, dst long"))
+        assert {(r.src, r.dst) for r in e.view.darts().collect()} == {(0, 1), (1, 0), (3, 0)} | (set() if view.is_full() else {(0, 3)})
+        assert e.mask_revision == 1 + view.is_full()
+        with pytest.raises(ValueError):
+            e.add_vertices(spark.createDataFrame([(3, "again")], "id long, data string"))
+
+
+def test_faces_as_views_and_fixed_outer_face(spark):
+    e = Embedding(gen.rect_mesh(spark, 3, 4))
+    e.apply_rotation()
+    search = planar.FaceSearch(e.view.graph)
+    found = []
+    while (face := search.next()) is not None:
+        view = search.subgraph()
+        n = face.count()
+        assert view.is_full() and view.vertices().count() == n and view.darts().count() == n
+        found.append((n, view))
+    assert sorted(n for n, _ in found) == [4] * 6 + [10] and search.next() is None
+    for spring in (None, (40.0, 5.0)):
+        t = layout.TutteLayout(e.view.graph, spring=spring)
+        name = "springTutte" if spring else "tutte"
+        assert f"{name}.fixOuterFace" in t.actions() and t.invoke(f"{name}.fixOuterFace") == 0 and t.positions is None  # nothing to fix yet
+        with pytest.raises(RuntimeError):
+            t.fix_outer_face()
+        t.planar, t.highlight = True, next(view for n, view in found if n == 10)
+        t.invoke(f"{name}.fixOuterFace")
+        rows = {r.id: r for r in t.positions.collect()}
+        assert {v for v, r in rows.items() if not r.fixed} == {5, 6} and (rows[5].x, rows[5].y) == (0.0, 0.0)
+        assert all(abs(math.hypot(r.x, r.y) - 200.0) < 1e-6 for r in rows.values() if r.fixed)
+        t.run(500)
+        kept = {r.id: r for r in t.positions.collect()}
+        t.highlight = next(view for n, view in found if n == 4)
+        t.fix_outer_face()
+        again = {r.id: r for r in t.positions.collect()}
+        assert sum(r.fixed for r in again.values()) == 4 and all((r.x, r.y) == (kept[v].x, kept[v].y) for v, r in again.items() if not r.fixed)
+
+
+def test_debug_switches(spark, monkeypatch, capsys):
+    monkeypatch.setenv("WEFT_DEBUG", "knn-profile,grip-filtration")
+    tr.PROFILE.reset()
+    g = Graph.of(spark, 4, [(0, 1), (1, 2), (2, 3)])
+    tr.k_nearest(g, ids(spark, 0, 3), 1).collect()
+    assert (tr.PROFILE.queries, tr.PROFILE.visited, tr.PROFILE.most) == (2, 4, 2)
+    assert "2 searches visited 4 vertices" in capsys.readouterr().err
+    monkeypatch.delenv("WEFT_DEBUG")
+    tr.k_nearest(g, ids(spark, 0), 1).collect()
+    assert tr.PROFILE.queries == 2
+
+
+def test_searches_from_the_smaller_side(spark, monkeypatch):
+    g = Graph.of(spark, 20, [(0, i) for i in range(1, 20)])
+    asked, whole = [], tr.k_nearest_from_seeds
+    monkeypatch.setattr(tr, "k_nearest_from_seeds", lambda *a: asked.append(a) or whole(*a))
+    got = tr.nearest_placed(g, ids(spark, *range(3, 20)), ids(spark, 0, 1), 1)
+    assert len(asked) == 1 and {(r.id, r.dist) for r in got.collect()} == {(0, 1)}
+    assert tr.nearest_placed(g, ids(spark, 3, 4), ids(spark, 0, 1), 1).count() == 2 and len(asked) == 1
+
+
 # ---- trees, sessions ----
 
 

@@ -1,4 +1,4 @@
-"""Graphs, views and embeddings as DataFrames.
+"""Graphs and views as DataFrames.
 
 A graph is two tables.  ``vertices(id, data)`` has a row per vertex.
 ``darts(src, pos, dst)`` has a row per adjacency entry: an undirected edge is
@@ -8,7 +8,7 @@ order matters to every traversal.  Edges carry no weight.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,20 +143,3 @@ class View:
 
     def degrees(self) -> DataFrame:
         return Graph(self.vertices(), self.darts(), self.graph.directed).degrees()
-
-
-@dataclass
-class Embedding:
-    """Positions of a view's vertices, with actions, draw mask, series and highlight."""
-
-    view: View
-    positions: DataFrame  # (id, pos array<double>)
-    dim: int = 2
-    planar: bool = False
-    highlight: View | None = None
-    actions: dict = field(default_factory=dict)
-    series: dict = field(default_factory=dict)
-    revision: int = 0
-
-    def with_positions(self, positions: DataFrame) -> Embedding:
-        return replace(self, positions=positions)

@@ -375,8 +375,11 @@ class TutteLayout(Session):
         self.vertices = materialise(self.view.vertices().select("id"))
         self.n = self.vertices.count()
         self.positions = self.velocity = None
+        self.planar, self.highlight = False, None
         name = "springTutte" if spring else "tutte"
         self.series_name = f"{name}.maxDelta"
+        self.add_series(self.series_name, "line_log")
+        self.action(f"{name}.fixOuterFace", lambda p: self.fix_outer_face() if self.planar and self.highlight is not None else None)
         self.action(f"{name}.step", lambda p: self.step(p.delta_time or 1 / 60) if self.positions is not None else None)
 
     def set_boundary(self, boundary: DataFrame) -> TutteLayout:
@@ -392,6 +395,26 @@ class TutteLayout(Session):
         """corners(id, place) on a regular n-gon."""
         return self.set_boundary(regular_polygon(corners, n, size))
 
+    def fix_outer_face(self, size: float = 200.0) -> TutteLayout:
+        """Pins the cycle around the highlighted view to a polygon; all other vertices are free where they are.
+
+        The graph's lists are a planar rotation (``planar``) and a view is
+        highlighted, such as a face.
+        """
+        from weft.operators.planar import boundary_cycle
+
+        if not self.planar or self.highlight is None:
+            raise RuntimeError("a planar rotation and a highlighted view first")
+        cycle = boundary_cycle(self.highlight)
+        corners = regular_polygon(cycle, cycle.count(), size).select(F.col("id").alias("c_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+        if self.positions is None:
+            self.positions = self.vertices.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(False).alias("fixed"))
+        pinned = F.col("c_id").isNotNull()
+        joined = self.positions.join(corners.dropDuplicates(["c_id"]), F.col("id") == F.col("c_id"), "left")
+        self.positions = materialise(joined.select("id", F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"), pinned.alias("fixed")))
+        self.velocity = None
+        return self
+
     def step(self, dt: float) -> float:
         """One round of length dt; the greatest displacement."""
         if self.spring is None:
@@ -455,4 +478,6 @@ def tutte_layout(g: Graph, size: float = 200.0, eps: float = 1e-5, spring: tuple
 
     rotated = apply_rotation(g)
     face = materialise(largest_face(faces(rotated)).select(F.posexplode("verts").alias("place", "id")))
-    return TutteLayout(rotated, eps, spring=spring).fix_polygon(face, face.count(), size)
+    found = TutteLayout(rotated, eps, spring=spring).fix_polygon(face, face.count(), size)
+    found.planar = True
+    return found

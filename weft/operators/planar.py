@@ -621,6 +621,66 @@ def largest_face(face_rows: DataFrame) -> DataFrame:
     return best.select((-F.col("m.k")).alias("face_id"), "m.verts")
 
 
+def face_view(graph: Graph, verts: DataFrame) -> View:
+    """The vertices (place, id) of a face and the darts along it as a view with listed edges."""
+    from weft.operators import views as vw
+
+    n = verts.count()
+    if n < 3:
+        raise ValueError("a face has three vertices at least")
+    ahead = verts.select(F.pmod(F.col("place") - 1, F.lit(n)).alias("place"), F.col("id").alias("dst"))
+    pairs = verts.select("place", F.col("id").alias("src")).join(ahead, "place").select("src", "dst")
+    return vw.show_edges(vw.show_vertices(vw.make_edge_subset(vw.empty(graph)), verts.select("id").distinct()), pairs)
+
+
+class FaceSearch:
+    """A cursor over the faces of a rotated graph, in their order."""
+
+    def __init__(self, rotated: Graph):
+        self.graph, self.at = rotated, -1
+        self.faces = materialise(faces(rotated))
+        self.count = self.faces.count()
+
+    def next(self) -> DataFrame | None:
+        """(place, id) of the next face, or None after the last."""
+        self.at = min(self.at + 1, self.count)
+        return self.current()
+
+    def current(self) -> DataFrame | None:
+        if not 0 <= self.at < self.count:
+            return None
+        return self.faces.where(F.col("face_id") == self.at).select(F.posexplode("verts").alias("place", "id"))
+
+    def subgraph(self) -> View:
+        """The current face as a view."""
+        face = self.current()
+        if face is None:
+            raise RuntimeError("no current face")
+        return face_view(self.graph, face)
+
+
+def boundary_cycle(view: View) -> DataFrame:
+    """(place, id) along the face of a view on which its first dart lies; an error without a cycle of three.
+
+    The view is of a rotated graph; darts without their twin, such as those of
+    a face, are walked as edges.
+    """
+    own = materialise(view.darts())
+    first = own.orderBy("src", "pos").first()
+    if first is None:
+        raise ValueError("no edge to walk along")
+    twins = view.graph.darts.join(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), ["src", "dst"], "left_semi").select("src", "pos", "dst")
+    w = Window.partitionBy("src").orderBy("pos")
+    both = own.unionByName(twins).distinct().select("src", (F.row_number().over(w) - 1).alias("pos"), "dst")
+    whole = Graph(view.vertices(), materialise(both), view.graph.directed)
+    ahead = lambda i: F.get("verts", F.pmod(i + 1, F.size("verts")))
+    along = F.exists(F.sequence(F.lit(0), F.size("verts") - 1), lambda i: (F.get("verts", i) == F.lit(first["src"])) & (ahead(i) == F.lit(first["dst"])))
+    cycle = materialise(faces(whole, 1).where(along).orderBy("face_id").limit(1).select(F.posexplode("verts").alias("place", "id")))
+    if cycle.count() < 3:
+        raise ValueError("a boundary has three vertices at least")
+    return cycle
+
+
 def face_corners(face_rows: DataFrame, positions: DataFrame) -> DataFrame:
     """(face_id, place, id, x, y, x2, y2): the edges of each face's polygon."""
     corners = face_rows.select("face_id", F.posexplode("verts").alias("place", "id")).join(positions.select("id", "x", "y"), "id")

@@ -7,6 +7,8 @@ with what is known.  Each level is checkpointed, so a plan never grows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +17,7 @@ from pyspark.sql.window import Window
 
 from weft.model import Graph, View
 from weft.operators.components import components as _components
+from weft.plans import debug
 from weft.shared import materialise
 
 
@@ -93,6 +96,30 @@ def is_connected(g: Graph | View) -> DataFrame:
     return components(g).agg((F.count_distinct("component") <= 1).alias("connected"))
 
 
+@dataclass
+class SearchProfile:
+    """Counters of nearest-vertex searches since the last reset: searches, vertices they visited, most by one."""
+
+    queries: int = 0
+    visited: int = 0
+    most: int = 0
+
+    def reset(self) -> None:
+        self.queries = self.visited = self.most = 0
+
+    def record(self, seen: DataFrame) -> None:
+        per = seen.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+        queries, visited, most = per.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
+        self.queries += queries
+        self.visited += visited or 0
+        self.most = max(self.most, most or 0)
+        debug.say("knn-profile", f"{queries} searches visited {visited or 0} vertices, {most or 0} at most")
+
+
+#: Counted while the switch ``knn-profile`` is on.
+PROFILE = SearchProfile()
+
+
 def k_nearest(g: Graph | View, sources: DataFrame, k: int, among: DataFrame | None = None, max_depth: int = 0) -> DataFrame:
     """(source, rank, id, dist): up to k hits nearest to each source, the source excluded.
 
@@ -123,6 +150,8 @@ def k_nearest(g: Graph | View, sources: DataFrame, k: int, among: DataFrame | No
         seen = materialise(seen.unionByName(frontier))
         done = hits.groupBy("source").count().where(F.col("count") >= k)
         frontier = materialise(frontier.join(done, "source", "left_anti"))
+    if debug.on("knn-profile"):
+        PROFILE.record(seen)
     if hits is None:
         return spark.createDataFrame([], "source long, rank int, id long, dist long")
     w = Window.partitionBy("source").orderBy("dist", "rank")
@@ -149,6 +178,15 @@ def k_nearest_from_seeds(g: Graph, targets: DataFrame, seeds: DataFrame, k: int)
     return wanted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("target").alias("source"), "rank", F.col("seed").alias("id"), "dist")
 
 
+def nearest_placed(g: Graph, targets: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """(source, rank, id, dist): k nearest seeds of each target, searched from the side that the rule prefers."""
+    n_seeds, n_targets = seeds.count(), targets.count()
+    degree = g.darts.count() / max(1, g.vertices.count())
+    if not g.directed and prefer_reverse(n_seeds, n_targets, degree):
+        return k_nearest_from_seeds(g, targets, seeds, k)
+    return k_nearest(g, targets, k, seeds)
+
+
 def within_radius(g: Graph | View, sources: DataFrame, radius: int) -> DataFrame:
     """(source, id, dist) of vertices at most ``radius`` hops away, sources excluded."""
     return k_nearest(g, sources, 1 << 30, None, radius).select("source", "id", "dist")

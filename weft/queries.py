@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from weft.model import Graph, View
 from weft.operators import traverse as tr
 from weft.operators import views as vw
-from weft.shared import materialise
+from weft.shared import fresh_path, materialise
+from weft.sources import files
 from weft.sources import generators as gen
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,7 +185,7 @@ def _range_count(spark, sf_dir):
     return vw.subset_count(supplier_parts(spark, sf_dir).vertices.where("id % 3 = 1").select("id"), 10, 1000900)
 
 
-@query("dart_from_bit", f"WITH {SP_SQL}, b AS (SELECT row_number() OVER (ORDER BY src, pos) - 1 AS bit, src, pos, dst FROM darts) SELECT bit, src, pos, dst FROM b WHERE bit % 100 = 0")
+@query("dart_from_bit", f"WITH {SP_SQL}, b AS (SELECT row_number() OVER (ORDER BY src, pos) - 1 AS bit, src, pos, dst FROM darts) SELECT bit, src, pos, dst FROM b")
 def _bit(spark, sf_dir):
     g = supplier_parts(spark, sf_dir)
     g = Graph(g.vertices, materialise(g.darts))
@@ -303,6 +304,25 @@ def _gen_random(spark, sf_dir):
     return _ends(gen.random_connected_edges(spark, 500, 0.01, 7))
 
 
+# ---- files ----
+
+COMPACT_SQL = """
+WITH rows AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) AS o, l_orderkey AS a, 1000000000 + l_partkey AS b FROM lineitem),
+firsts AS (SELECT name, min(place) AS place FROM (SELECT 2 * o AS place, a AS name FROM rows UNION ALL SELECT 2 * o + 1, b FROM rows) GROUP BY name),
+ids AS (SELECT name, row_number() OVER (ORDER BY place) - 1 AS id FROM firsts)
+SELECT least(x.id, y.id) AS src, greatest(x.id, y.id) AS dst, count(*) AS n FROM rows JOIN ids x ON x.name = a JOIN ids y ON y.name = b GROUP BY 1, 2
+"""
+
+
+@query("edges_compacted", COMPACT_SQL)
+def _compacted(spark, sf_dir):
+    """An edge list of orders and parts, written to the shared folder and read back with new ids."""
+    path = fresh_path(spark, "edges")
+    ordered = table(spark, sf_dir, "lineitem").repartitionByRange(8, "l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey")
+    ordered.select(F.concat_ws(" ", "l_orderkey", 1000000000 + F.col("l_partkey")).alias("value")).write.text(path)
+    return files.read_edges(spark, path).edges().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- traversal ----
 
 BFS_SQL = f"""
@@ -377,20 +397,42 @@ def _sources(g: Graph) -> DataFrame:
     return g.vertices.where("id % 20 = 0").select("id")
 
 
-@query("knn_filtered", f"WITH {SP_SQL}, src AS (SELECT id FROM ids WHERE id < 5), one AS (SELECT src.id AS source, d.dst AS v, d.pos AS rk FROM src JOIN darts d ON d.src = src.id), two AS (SELECT source, d.dst AS v, min(struct_pack(rk := rk, pos := d.pos)) AS via FROM one JOIN darts d ON d.src = one.v WHERE d.dst <> source GROUP BY 1, 2), hits AS (SELECT source, v, row_number() OVER (PARTITION BY source ORDER BY via.rk, via.pos, v) AS rk FROM two WHERE v % 3 = 0) SELECT source, CAST(rk AS INTEGER) AS rank, v AS id, CAST(2 AS BIGINT) AS dist FROM hits WHERE rk <= 8")
+def _knn_sql(k: int, wanted: str, levels: int) -> str:
+    """The searches level by level, all sources together: a level's vertices are those that the last level's lists
+    name first, in the order of discoverer and place.  More levels than the graph has give the same rows."""
+    out = f"WITH {SP_SQL}, l0 AS (SELECT id AS source, id AS v, CAST(1 AS BIGINT) AS rk, CAST(0 AS BIGINT) AS dist FROM ids WHERE id % 20 = 0)"
+    seen = "SELECT source, v FROM l0"
+    for n in range(1, levels + 1):
+        found = f"SELECT source, d.dst AS v, min(struct_pack(rk := l.rk, pos := d.pos)) AS via FROM l{n - 1} l JOIN darts d ON d.src = l.v GROUP BY 1, 2"
+        out += f", l{n} AS (SELECT source, v, row_number() OVER (PARTITION BY source ORDER BY via.rk, via.pos, v) AS rk, CAST({n} AS BIGINT) AS dist FROM ({found}) WHERE (source, v) NOT IN ({seen}))"
+        seen += f" UNION ALL SELECT source, v FROM l{n}"
+    every = " UNION ALL ".join(f"SELECT * FROM l{n}" for n in range(1, levels + 1))
+    return out + f", hits AS (SELECT source, v, dist, row_number() OVER (PARTITION BY source ORDER BY dist, rk) AS place FROM ({every}) WHERE {wanted}) SELECT source, CAST(place AS INTEGER) AS rank, v AS id, dist FROM hits WHERE place <= {k}"
+
+
+@query("knn_filtered", _knn_sql(8, "v % 3 = 0 AND v < 1000000", 4))
 def _knn(spark, sf_dir):
     g = supplier_parts(spark, sf_dir)
     v = g.vertices
     return tr.k_nearest(g, _sources(g), 8, v.where("id % 3 = 0 and id < 1000000").select("id"))
 
 
-@query("within_radius", f"WITH {SP_SQL}, src AS (SELECT id FROM ids WHERE id < 3), one AS (SELECT src.id AS source, d.dst AS id FROM src JOIN darts d ON d.src = src.id), two AS (SELECT DISTINCT source, d.dst AS id FROM one JOIN darts d ON d.src = one.id WHERE d.dst <> source) SELECT source, id, CAST(1 AS BIGINT) AS dist FROM one UNION ALL SELECT source, id, 2 FROM two")
+@query("within_radius", f"WITH {SP_SQL}, src AS (SELECT id FROM ids WHERE id % 20 = 0), one AS (SELECT src.id AS source, d.dst AS id FROM src JOIN darts d ON d.src = src.id), two AS (SELECT DISTINCT source, d.dst AS id FROM one JOIN darts d ON d.src = one.id WHERE d.dst <> source) SELECT source, id, CAST(1 AS BIGINT) AS dist FROM one UNION ALL SELECT source, id, 2 FROM two")
 def _radius(spark, sf_dir):
     g = supplier_parts(spark, sf_dir)
     return tr.within_radius(g, _sources(g), 2)
 
 
-@query("is_tree", "SELECT CAST(1 AS INTEGER) AS code")
+TREE_SQL = f"""
+WITH RECURSIVE {HIER_SQL},
+roots AS (SELECT id FROM ids WHERE id NOT IN (SELECT dst FROM edges)),
+reach AS (SELECT id FROM roots UNION SELECT dst FROM reach JOIN edges ON src = reach.id),
+sums AS (SELECT (SELECT count(*) FROM roots) AS roots, (SELECT max(n) FROM (SELECT count(*) AS n FROM edges GROUP BY dst)) AS most, (SELECT count(*) FROM edges) AS m, (SELECT count(*) FROM ids) AS n, (SELECT count(*) FROM reach) AS r)
+SELECT CAST(CASE WHEN most > 1 OR roots > 1 THEN -1 WHEN roots = 0 OR m <> n - 1 OR r <> n THEN 0 ELSE 1 END AS INTEGER) AS code FROM sums
+"""
+
+
+@query("is_tree", TREE_SQL)
 def _is_tree(spark, sf_dir):
     return spark.createDataFrame([(tr.tree_check(hierarchy(spark, sf_dir)),)], "code int")
 

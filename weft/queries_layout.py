@@ -15,7 +15,7 @@ from weft.functions.geometry import regular_polygon
 from weft.model import Graph
 from weft.operators import grip, layout, planar, quadtree, tidytree
 from weft.operators import traverse as tr
-from weft.queries import HIER_SQL, SP_SQL, hierarchy, points, query, supplier_parts, table
+from weft.queries import HIER_SQL, SP_SQL, customer_chains, hierarchy, points, query, supplier_parts, table
 from weft.shared import materialise
 from weft.sources import generators as gen
 
@@ -71,7 +71,7 @@ def _fr_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).where("vx <> ux or vy <> uy").select("src", "dst", whole(f[0]).alias("fx"), whole(f[1]).alias("fy"))
 
 
-PTS_SQL = "pts AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, label FROM embeddings), lab AS (SELECT *, CAST(1 + label % 3 AS DOUBLE) AS mass FROM pts), near AS (SELECT a.id, a.x, a.y, a.mass, b.x - a.x AS dx, b.y - a.y AS dy, b.mass AS m2, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS r FROM lab a JOIN lab b ON a.id <> b.id WHERE a.id < 200 AND b.id < 200)"
+PTS_SQL = "pts AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, label FROM embeddings), lab AS (SELECT *, CAST(1 + label % 3 AS DOUBLE) AS mass FROM pts), near AS (SELECT a.id, a.x, a.y, a.mass, b.x - a.x AS dx, b.y - a.y AS dy, b.mass AS m2, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS r FROM lab a JOIN lab b ON a.id <> b.id)"
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,10 +281,19 @@ def _polygon(spark, sf_dir):
 # ---- multilevel ----
 
 
-@query("mis_layer1", f"WITH {SP_SQL} SELECT id FROM ids WHERE id < 1000000")
+# Neighbours in a nation by key, where both balances are positive and the first key is no multiple of four: paths of
+# several lengths, whose vertices join in turn.
+MIS_SQL = """
+WITH c AS (SELECT c_custkey AS id, c_nationkey AS n, lag(c_custkey % 4 <> 0 AND c_acctbal > 0) OVER w AND c_acctbal > 0 AS tied FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
+runs AS (SELECT id, n, sum(CASE WHEN tied THEN 0 ELSE 1 END) OVER (PARTITION BY n ORDER BY id) AS run FROM c)
+SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY n, run ORDER BY id) AS place FROM runs) WHERE place % 2 = 1
+"""
+
+
+@query("mis_layer1", MIS_SQL)
 def _mis(spark, sf_dir):
-    g = supplier_parts(spark, sf_dir)
-    return grip.maximal_independent(g.vertices.select("id"), g.darts)
+    g = customer_chains(spark, sf_dir)
+    return grip.maximal_independent(g.vertices.select("id"), g.darts.where("least(src, dst) % 4 <> 0"))
 
 
 @query("mis_layers")
@@ -318,16 +327,47 @@ def _force_step(spark, sf_dir):
 # ---- planarity, drawings, trees ----
 
 
-@query("is_planar", "SELECT CAST(0 AS BIGINT) AS component, true AS planar")
+# The mesh drawn with x = column, y = row: planar if no two of its edges without a common end meet.
+PLANAR_SQL = f"""
+WITH v AS (SELECT id, id // {COLS} AS y, id % {COLS} AS x FROM (SELECT unnest(range({ROWS * COLS})) AS id)),
+e AS (SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS cy FROM v a JOIN v b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)),
+s AS (SELECT p.*, q.*, (bx - ax) * (q_ay - ay) - (cy - ay) * (q_ax - ax) AS s1, (bx - ax) * (q_cy - ay) - (cy - ay) * (q_bx - ax) AS s2, (q_bx - q_ax) * (ay - q_ay) - (q_cy - q_ay) * (ax - q_ax) AS s3, (q_bx - q_ax) * (cy - q_ay) - (q_cy - q_ay) * (bx - q_ax) AS s4
+  FROM e p JOIN (SELECT a AS q_a, b AS q_b, ax AS q_ax, ay AS q_ay, bx AS q_bx, cy AS q_cy FROM e) q ON p.a < q_a AND p.b <> q_a AND p.a <> q_b AND p.b <> q_b)
+SELECT (SELECT min(id) FROM v) AS component, NOT EXISTS (SELECT 1 FROM s WHERE s1 * s2 <= 0 AND s3 * s4 <= 0 AND (s1 <> 0 OR s2 <> 0 OR s3 <> 0 OR s4 <> 0)) AS planar
+"""
+
+
+@query("is_planar", PLANAR_SQL)
 def _planar(spark, sf_dir):
     return planar.is_planar(gen.rect_mesh(spark, ROWS, COLS))
 
 
-@query("is_planar_klein", "SELECT CAST(0 AS BIGINT) AS component, false AS planar")
+# A planar graph without triangles has at most 2 V - 4 edges; this one has more.
+KLEIN_SQL = """
+WITH c AS (SELECT id, id // 5 AS i, id % 5 AS j FROM (SELECT unnest(range(20)) AS id)),
+e AS (SELECT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT id AS a, CASE WHEN j + 1 < 5 THEN id + 1 ELSE id - j END AS b FROM c UNION ALL SELECT id, CASE WHEN i + 1 < 4 THEN id + 5 ELSE 4 - j END FROM c) WHERE a <> b),
+k AS (SELECT DISTINCT a, b FROM e),
+t AS (SELECT count(*) AS n FROM k x JOIN k y ON x.b = y.a JOIN k z ON z.a = x.a AND z.b = y.b)
+SELECT (SELECT min(id) FROM c) AS component, NOT ((SELECT count(*) FROM k) > 2 * (SELECT count(*) FROM c) - 4 AND t.n = 0) AS planar FROM t
+"""
+
+
+@query("is_planar_klein", KLEIN_SQL)
 def _not_planar(spark, sf_dir):
     return planar.is_planar(gen.klein_bottle(spark, 4, 5))
 
 
+# Euler's formula: a rotation of a connected graph is one of the plane if it has E - V + 2 faces.
+EULER_SQL = "WITH c AS (SELECT i, unnest(range(i + 1)) AS j FROM (SELECT unnest(range(13)) AS i)), n AS (SELECT count(*) AS v, (SELECT sum((j < i)::INT + 2 * (i < 12)::INT) FROM c) AS e FROM c) SELECT CAST(v AS BIGINT) AS n_vertices, CAST(e AS BIGINT) AS n_edges, CAST(e - v + 2 AS BIGINT) AS n_faces, CAST(2 * e AS BIGINT) AS n_darts FROM n"
+
+
+@query("rotation_euler", EULER_SQL)
+def _euler(spark, sf_dir):
+    g = planar.apply_rotation(gen.tri_mesh(spark, 12))
+    f = planar.faces(g).agg(F.count(F.lit(1)).alias("n_faces"), F.sum(F.size("verts")).cast("long").alias("n_darts"))
+    return g.size().withColumnRenamed("n", "n_vertices").crossJoin(g.edge_count()).crossJoin(f)  # one row each
+
+
 @query("kuratowski")
 def _witness(spark, sf_dir):
     return planar.kuratowski(gen.klein_bottle(spark, 4, 5))
@@ -338,7 +378,7 @@ def _rotated(spark, sf_dir):
     return planar.planar_rotation(gen.tri_mesh(spark, 12))
 
 
-@query("triangulation_counts", f"SELECT CAST({3 * ROWS * COLS - 6} AS BIGINT) AS n_edges, CAST({2 * ROWS * COLS - 4} AS BIGINT) AS n_faces, CAST(3 AS INTEGER) AS longest")
+@query("triangulation_counts", f"WITH v AS (SELECT unnest(range({ROWS * COLS})) AS id) SELECT CAST(3 * count(*) - 6 AS BIGINT) AS n_edges, CAST(3 * count(*) - 6 - count(*) + 2 AS BIGINT) AS n_faces, CAST(2 * (3 * count(*) - 6) // (2 * count(*) - 4) AS INTEGER) AS longest FROM v")
 def _triangulated(spark, sf_dir):
     t = planar.triangulate(planar.apply_rotation(gen.rect_mesh(spark, ROWS, COLS)))
     f = planar.faces(t).agg(F.count(F.lit(1)).alias("n_faces"), F.max(F.size("verts")).alias("longest"))
@@ -374,9 +414,9 @@ def _recognise(spark, sf_dir):
     return p.select("p_partkey", tx.looks_like_number(F.col("p_retailprice").cast("string")).alias("price_is_number"), tx.looks_like_number(F.col("p_name")).alias("name_is_number"))
 
 
-@query("json_escape", "SELECT doc_id, to_json(text) AS j FROM (SELECT doc_id, replace(text, chr(9), ' ') AS text FROM documents)")
+@query("json_escape", "SELECT doc_id, to_json(text || chr(9) || '\"' || chr(92)) AS j FROM documents")
 def _escape(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.json_string(F.replace("text", F.lit("\t"), F.lit(" "))).alias("j"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.json_string(F.concat("text", F.lit('\t"\\'))).alias("j"))
 
 
 @query("list_ops", "SELECT vec_id, CAST(list_position(l, 3) - 1 AS BIGINT) AS found, l[1:2] || [9] || l[3:] AS inserted, l[1:1] || l[3:] AS deleted, l[1:4] AS popped, l[5] AS final FROM (SELECT vec_id, [label, label + 1, 3, 4, vec_id % 7]::BIGINT[] AS l FROM embeddings)")
