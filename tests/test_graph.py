@@ -279,6 +279,30 @@ def test_array_functions(spark):
     assert (r.p, r.t, r.u, r.b, r.c, r.cr, r.sb, r.cb) == ([5, 6, 7], 6, [5, 6, 7, 6, 1], [0, 1, 3], 3, 0b1001, 0b1111, 0b1010)
 
 
+# ---- tables of searches, the shared folder ----
+
+
+def test_levels_are_merged_by_a_counter(spark):
+    levels = tr._Levels(spark.range(1))
+    for k in range(1, 20):
+        levels.add(spark.range(k, k + 1))
+        assert len(levels.parts) < 2 * tr._Levels.WIDTH
+    assert rows(levels.all()) == rows(spark.range(20)) and len(levels.parts) == 2 + 4
+
+
+def test_clusters_must_name_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from weft import shared
+
+    unset = SimpleNamespace(isEmpty=lambda: True)
+    jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset))
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(_jsc=jsc, master="spark://host:7077"), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(cluster)
+    assert shared.shared_dir(spark) == shared.shared_dir(spark)
+
+
 # ---- ids at size ----
 
 

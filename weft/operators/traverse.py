@@ -8,6 +8,7 @@ with what is known.  Each level is checkpointed, so a plan never grows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,28 @@ def _view(g: Graph | View) -> View:
     return g if isinstance(g, View) else View(g)
 
 
+class _Levels:
+    """Checkpointed levels of a search, merged by a counter to the base ``WIDTH``.
+
+    Each row is written again once per power of the base that the number of
+    levels reaches, and as many tables are read at most, times the base.
+    """
+
+    WIDTH = 8
+
+    def __init__(self, first: DataFrame):
+        self.parts = [(0, first)]
+
+    def add(self, level: DataFrame) -> None:
+        self.parts.append((0, level))
+        while len(self.parts) >= self.WIDTH and len({k for k, _ in self.parts[-self.WIDTH :]}) == 1:
+            k, last = self.parts[-1][0], [t for _, t in self.parts[-self.WIDTH :]]
+            self.parts[-self.WIDTH :] = [(k + 1, materialise(reduce(DataFrame.unionByName, last)))]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t for _, t in self.parts])
+
+
 def bfs(g: Graph | View, source: int, max_depth: int = 0) -> DataFrame:
     """(id, dist, parent) of every vertex seen; dist and parent null where unreached.
 
@@ -37,19 +60,20 @@ def bfs(g: Graph | View, source: int, max_depth: int = 0) -> DataFrame:
     reached = vertices.where(F.col("id") == source).select("id", F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("parent"), F.lit(1).cast("long").alias("rank"))
     if reached.isEmpty():
         raise ValueError("the source is not in the view")
-    seen, frontier, level = materialise(reached), materialise(reached), 0
+    frontier, level = materialise(reached), 0
+    seen = _Levels(frontier)
     while not max_depth or level < max_depth:
         step = frontier.select(F.col("id").alias("src"), "rank").join(darts, "src")
         found = step.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("rank", "pos", "src")).alias("via"))
-        found = found.join(seen.select("id"), "id", "left_anti")
+        found = found.join(seen.all().select("id"), "id", "left_anti")
         level += 1
         # Ranks order the level by discoverer; ids of one level are dealt by range, not to one task.
         ranked = _dense_order(found, F.col("via.rank"), F.col("via.pos"))
         frontier = materialise(ranked.select("id", F.lit(level).cast("long").alias("dist"), F.col("via.src").alias("parent"), "rank"))
         if frontier.isEmpty():
             break
-        seen = materialise(seen.unionByName(frontier))
-    return vertices.join(seen.select("id", "dist", "parent"), "id", "left")
+        seen.add(frontier)
+    return vertices.join(seen.all().select("id", "dist", "parent"), "id", "left")
 
 
 def _dense_order(df: DataFrame, *keys) -> DataFrame:
@@ -134,28 +158,30 @@ def k_nearest(g: Graph | View, sources: DataFrame, k: int, among: DataFrame | No
     darts = materialise(view.darts())
     inside = view.vertices().select("id")
     start = sources.select(F.col("id").alias("source")).distinct().join(inside, F.col("source") == F.col("id"), "left_semi").select("source", F.col("source").alias("id"), F.lit(0).cast("long").alias("dist"), F.lit(1).cast("long").alias("rank"))
-    seen = frontier = materialise(start)
-    hits, level = None, 0
+    frontier = materialise(start)
+    seen, hits, level = _Levels(frontier), None, 0
     while not max_depth or level < max_depth:
         step = frontier.select("source", F.col("id").alias("src"), "rank").join(darts, "src")
         found = step.groupBy("source", F.col("dst").alias("id")).agg(F.min(F.struct("rank", "pos")).alias("via"))
-        found = found.join(seen.select("source", "id"), ["source", "id"], "left_anti")
+        found = found.join(seen.all().select("source", "id"), ["source", "id"], "left_anti")
         level += 1
         w = Window.partitionBy("source").orderBy("via", "id")
         frontier = materialise(found.select("source", "id", F.lit(level).cast("long").alias("dist"), F.row_number().over(w).cast("long").alias("rank")))
         if frontier.isEmpty():
             break
-        new = frontier if among is None else frontier.join(among.select("id"), "id", "left_semi").select(*frontier.columns)
-        hits = materialise(new if hits is None else hits.unionByName(new))
-        seen = materialise(seen.unionByName(frontier))
-        done = hits.groupBy("source").count().where(F.col("count") >= k)
+        new = frontier if among is None else materialise(frontier.join(among.select("id"), "id", "left_semi").select(*frontier.columns))
+        hits = _Levels(new) if hits is None else hits
+        if level > 1:
+            hits.add(new)
+        seen.add(frontier)
+        done = hits.all().groupBy("source").count().where(F.col("count") >= k)
         frontier = materialise(frontier.join(done, "source", "left_anti"))
     if debug.on("knn-profile"):
-        PROFILE.record(seen)
+        PROFILE.record(seen.all())
     if hits is None:
         return spark.createDataFrame([], "source long, rank int, id long, dist long")
     w = Window.partitionBy("source").orderBy("dist", "rank")
-    return hits.select("source", F.row_number().over(w).alias("place"), "id", "dist").where(F.col("place") <= k).select("source", F.col("place").alias("rank"), "id", "dist")
+    return hits.all().select("source", F.row_number().over(w).alias("place"), "id", "dist").where(F.col("place") <= k).select("source", F.col("place").alias("rank"), "id", "dist")
 
 
 def prefer_reverse(n_seeds: int, n_targets: int, avg_degree: float) -> bool:

@@ -296,9 +296,14 @@ def _mis(spark, sf_dir):
     return grip.maximal_independent(g.vertices.select("id"), g.darts.where("least(src, dst) % 4 <> 0"))
 
 
+def _tree_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The undirected tree of regions, nations and customers."""
+    return Graph.from_edges(hierarchy(spark, sf_dir).darts.select("src", "dst"))
+
+
 @query("mis_layers")
 def _layers(spark, sf_dir):
-    return grip.mis_layers(mesh(spark))
+    return grip.mis_layers(_tree_graph(spark, sf_dir))
 
 
 @query("grip_place", f"WITH {SP_SQL}, {AT_SQL}, near AS (SELECT src AS id, dst FROM darts WHERE src >= 1000000 AND pos < 4) SELECT near.id, CAST(round(avg(x) * 10000) AS BIGINT) AS x, CAST(round(avg(y) * 10000) AS BIGINT) AS y FROM near JOIN spots ON spots.id = near.dst GROUP BY 1")
@@ -313,13 +318,13 @@ def _place(spark, sf_dir):
 
 @query("grip_layout")
 def _grip(spark, sf_dir):
-    out = grip.grip_layout(gen.rect_mesh(spark, 25, 45))
+    out = grip.grip_layout(_tree_graph(spark, sf_dir))
     return out.select("id", "layer", F.get("pos", F.lit(0)).alias("x"), F.get("pos", F.lit(1)).alias("y"))
 
 
 @query("force_layout_step")
 def _force_step(spark, sf_dir):
-    f = layout.ForceLayout(gen.rect_mesh(spark, 8, 8)).begin(3)
+    f = layout.ForceLayout(_tree_graph(spark, sf_dir)).begin(3)
     f.step()
     return f.positions
 

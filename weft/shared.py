@@ -1,8 +1,13 @@
 """Where intermediate tables go.
 
 ``spark.checkpoint.dir`` names a folder that the driver and every executor
-share.  It is read from the session; only where it is unset (tests, local
-mode) does this module choose a folder of its own.
+share.  It is read from the session; only where it is unset and the master is
+local (tests) does this module choose a folder of its own, and removes it at
+the end.  On a cluster without the setting it raises an error.
+
+What is written there stays until the caller removes it, as lost executors may
+need it again; a cluster that sets spark.cleaner.referenceTracking.cleanCheckpoints
+lets Spark delete checkpoints that nothing refers to.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = jsc.getCheckpointDir()
     if not current.isEmpty():
         return known or current.get()
+    if known is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if known is None:
         known = tempfile.mkdtemp(prefix="weft-checkpoint-")
         atexit.register(shutil.rmtree, known, True)
