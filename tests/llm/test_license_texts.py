@@ -2,7 +2,7 @@
 
 import textwrap
 
-from weft.llm.licenses import BSD, BSD_3, ISC, MIT, full_texts, known_licenses, scan_licenses
+from weft.llm.licenses import BSD, BSD_3, ISC, KNOWN, MIT, full_texts, known_licenses, scan_licenses
 
 
 def wrapped(text, width):
@@ -31,3 +31,23 @@ def test_wrapped_titled_and_whole_texts(spark):
     docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: r.license for r in scan_licenses(docs, known_licenses(spark)).collect()}
     assert [(k, got[k]) for k in range(len(cases))] == [(k, want) for k, (_, want) in enumerate(cases)]
+
+
+def test_the_sql_has_the_same_canonical_form(spark):
+    """Every known text with notices, titles and wrapped lines, in Spark and in DuckDB."""
+    import duckdb
+
+    from weft.llm.queries import OP8_SQL
+
+    texts = list((KNOWN | full_texts()).values())
+    wrapped = [textwrap.fill(t, 64) for t in texts]
+    noticed = ["Copyright (c) 2019 A. Person\nCopyright 2020-2021 Other Holder. All rights reserved.\n# Copyright Third Party\n\n" + t for t in wrapped]
+    odd = ["The MIT License (MIT)\n\n" + wrapped[0], "Copyright (c) 2020 One. " + texts[0], "  // (c) 1999 Somebody\ncopyright notice stays\nCopyright Notice stays\nall rights reserved.\nx", None, ""]
+    rows = list(enumerate(texts + wrapped + noticed + odd))
+    got = {r.doc_id: (r.digest, r.license) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), known_licenses(spark)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in rows])
+    want = {d: (digest, license) for d, digest, license in con.execute(f"SELECT doc_id, digest, license FROM ({OP8_SQL})").fetchall()}
+    assert {d for d in got if got[d] != want[d]} == set()
+    assert sum(x[1] is not None for x in got.values()) > 2 * len(texts)

@@ -68,13 +68,13 @@ def _replaced(column: str, found: str, instead: str) -> str:
 def _canonical_sql(column: str) -> str:
     """DuckDB's patterns cannot look ahead.  What follows a match becomes a group that is put back; as that takes the
     line feed that the next line's match begins with, notices are removed twice.  What must not follow is told
-    apart first, by a sign that counts as white space."""
+    apart first, by a sign that is taken out again."""
     ahead = lambda pattern: pattern.replace("(?=", "(")
     barred = re.search(r"\(\?!([^)]*)\)", lic.HELD)
     before = lic.HELD[: barred.start()].replace("(^|\\n)", "((?:^|\\n)", 1) + ")(" + barred.group(1) + ")"
     held = ahead(lic.HELD.replace(barred.group(0), ""))
-    out = _replaced(column, before, "\\1\x01\\2")
-    out = f"translate({_replaced(_replaced(out, held, BACK), held, BACK)}, '{UPPER}', '{LOWER}')"
+    out = _replaced(column, before, f"\\1{SIGN}\\2")
+    out = f"translate(replace({_replaced(_replaced(out, held, BACK), held, BACK)}, '{SIGN}', ''), '{UPPER}', '{LOWER}')"
     out = _replaced(_replaced(out, ahead(lic.NOTICE), BACK), ahead(lic.NOTICE), BACK)
     out = _replaced(_replaced(_replaced(out, lic.RESERVED, "\\1"), ahead(lic.TITLE), "\\1 license\\2"), r"[\s\x0B]+", " ")
     for found, instead in lic.SPELLINGS:
@@ -82,7 +82,7 @@ def _canonical_sql(column: str) -> str:
     return f"trim({_replaced(out, lic.NOT_WORD, ' ')})"
 
 
-BACK = r"\1\2"
+BACK, SIGN = r"\1\2", "\x01\x02\x01"
 OP8_SQL = f"""
 WITH known AS (
   SELECT sha256(form) AS k, min(license) AS license
