@@ -288,6 +288,13 @@ def test_rigid_motion_is_removed():
         assert np.abs(d).max() < (1e-9 if dim < 4 else 3.0)
 
 
+def test_dense_components_are_told_by_their_edges(spark):
+    k6 = list(itertools.combinations(range(6), 2))
+    g = Graph.of(spark, 12, k6 + k6 + [(6, 7), (7, 8), (8, 6), (8, 6), (9, 9), (10, 11)])
+    assert sorted(map(tuple, planar.is_planar(g).collect())) == [(0, False), (6, True), (9, True), (10, True)]
+    assert {r.src for r in planar.planar_rotation(g).collect()} == {6, 7, 8, 10, 11}
+
+
 # ---- embeddings ----
 
 

@@ -482,24 +482,39 @@ def _per_component(g, run, schema: str) -> DataFrame:
     return _by_component(g).groupBy("component").applyInPandas(lambda f: run(f.sort_values(["src", "pos"])), schema)
 
 
+def _sparse_or_not(g: Graph | View) -> tuple[DataFrame, DataFrame]:
+    """(rows of components that may be planar, (component) of those with more than 3 V - 6 edges).
+
+    The count of edges is a distributed aggregation, so a dense component of
+    any size never goes to one task.
+    """
+    rows = materialise(_by_component(g))
+    n = rows.groupBy("component").agg(F.count_distinct("src").alias("n"))
+    edges = rows.where("dst >= 0 and src <> dst").select("component", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    m = edges.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    dense = materialise(n.join(m, "component").where("n >= 3 and m > 3 * n - 6").select("component"))
+    return rows.join(dense, "component", "left_anti"), dense
+
+
 def planar_rotation(g: Graph | View) -> DataFrame:
     """(src, pos, dst) with each list counter-clockwise; no row for a component that isn't planar."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rot = LeftRight(_lists(frame)).rotation() or {}
+        rot = LeftRight(_lists(frame.sort_values(["src", "pos"]))).rotation() or {}
         rows = [(u, i, v) for u, ring in rot.items() for i, v in enumerate(ring)]
         return pd.DataFrame(rows, columns=["src", "pos", "dst"]).astype({"src": "int64", "pos": "int32", "dst": "int64"})
 
-    return _per_component(g, run, "src long, pos int, dst long")
+    return _sparse_or_not(g)[0].groupBy("component").applyInPandas(run, "src long, pos int, dst long")
 
 
 def is_planar(g: Graph | View) -> DataFrame:
     """(component, planar)."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"component": frame.component.iloc[:1], "planar": [LeftRight(_lists(frame)).rotation() is not None]})
+        return pd.DataFrame({"component": frame.component.iloc[:1], "planar": [LeftRight(_lists(frame.sort_values(["src", "pos"]))).rotation() is not None]})
 
-    return _per_component(g, run, "component long, planar boolean")
+    rows, dense = _sparse_or_not(g)
+    return rows.groupBy("component").applyInPandas(run, "component long, planar boolean").unionByName(dense.withColumn("planar", F.lit(False)))
 
 
 def kuratowski(g: Graph | View) -> DataFrame:
