@@ -49,3 +49,12 @@ def test_store_holds_added_tokens(spark, vocabulary, plain):
         at += len(ids)
     got = store_tokens(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary)
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got.collect()) == want
+
+
+def test_very_long_texts(spark, vocabulary, plain):
+    """A text of several megabytes, alone and beside others, and one that holds an added token."""
+    words = " ".join(f"word{i % 5000} é{i % 7}," for i in range(150_000))
+    rows = [(1, words), (2, "x"), (3, words[:400_000] + "<|endoftext|>" + words[:100]), (4, "a" * 200_000)]
+    want = {k: len(plain(t)) + 1 for k, t in rows}
+    got = {r.doc_id: r.n_tokens for r in store_tokens(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary).collect()}
+    assert got == want

@@ -51,3 +51,13 @@ def test_the_sql_has_the_same_canonical_form(spark):
     want = {d: (digest, license) for d, digest, license in con.execute(f"SELECT doc_id, digest, license FROM ({OP8_SQL})").fetchall()}
     assert {d for d in got if got[d] != want[d]} == set()
     assert sum(x[1] is not None for x in got.values()) > 2 * len(texts)
+
+
+def test_licenses_of_odd_tables(spark):
+    """No documents, a very long text, a licence inside one, and clashing columns."""
+    known = known_licenses(spark)
+    assert scan_licenses(spark.createDataFrame([], "doc_id long, text string"), known).count() == 0
+    long = "word " * 200_000
+    rows = [(1, long, "x"), (2, long + MIT, "x"), (3, "\n\n" * 50_000 + MIT, "x")]
+    got = {r.doc_id: r.license for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, license string"), known).collect()}
+    assert got == {1: None, 2: None, 3: "MIT"}

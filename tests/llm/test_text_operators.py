@@ -84,6 +84,15 @@ def test_decontaminate_empty_tables(spark):
     assert decontaminate(spark.createDataFrame([], SCHEMA), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
 
 
+def test_decontaminate_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(150_000)]
+    items = spark.createDataFrame([("a", " ".join(words[120_000:120_030])), ("b", " ".join(f"z{i}" for i in range(30)))], "item_id string, text string")
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "short")], "doc_id long, text string")
+    for limit in (200_000, 0):
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate(df, items, broadcast_rows=limit).collect()}
+        assert got == {1: (150_000, 30, ["a"]), 2: (1, 0, [])}
+
+
 def test_winnowing_keeps_a_fingerprint_of_every_window(spark):
     from weft.llm.decontaminate import fingerprints, hash_of
 

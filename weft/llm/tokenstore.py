@@ -20,7 +20,9 @@ position of each document in the whole corpus.
 
 Defined results: null and empty texts give the end id alone; rows with equal
 identifiers are kept, ordered by text; rows with a null identifier come first
-under the least key and read back as null; an empty table gives no shard.
+under the least key and read back as null; an identifier that is no whole
+number is an error; an empty table gives no shard; extra columns are never
+read.  A text is never split: a task holds one text, about 60 bytes a byte.
 Retries write other file names and only files in the manifest are read.
 """
 

@@ -11,7 +11,9 @@ or through one other record, into one nested row per response or revisit.
 Defined results: a null payload is empty; of pages with equal payloads of at
 least ``min_revisit`` bytes the greatest id is the response (all rows of that
 id, if the row is repeated) and the others revisit it; a null id is below all
-others; a null URL leaves the target out; an empty table gives no archive.  A
+others, and one that is no whole number is an error; a null URL leaves the
+target out; an empty table gives no archive; extra columns are never read.  A
+payload is never split: a task holds one batch and one archive.  A
 request or metadata record that names no known capture is dropped by
 ``assemble``; a capture without one has null there.  Retries write other file
 names, and only files in the manifest are read.
