@@ -46,7 +46,7 @@ PILOT_DOCS, PILOT_PAIRS = 400, 8
 #: Documents, and shingles, of a block; blocks are verified against each other.
 GROUP_DOCS, BLOCK_SHINGLES = 512, 1 << 19
 #: Groups' members up to which their rows are broadcast (two numbers each) to find the texts.
-BROADCAST_MEMBERS = 1_000_000
+BROADCAST_MEMBERS = 250_000
 _U = np.uint64
 
 # Separators of words, as in the decontamination contract; A-Z fold to a-z.
