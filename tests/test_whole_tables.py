@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft import queries, queries_layout
 from weft.functions import forces
-from weft.operators import layout
+from weft.operators import layout, quadtree
 
 
 def brute(pts, fr):
@@ -96,3 +96,64 @@ def test_searches_start_at_every_twentieth_vertex(spark, tmp_path):
     assert run("knn_filtered") == sorted(nearest) and any(s >= 1_000_000 for s, *_ in nearest)
     assert run("within_radius") == sorted(within) and any(s >= 1_000_000 for s, *_ in within)
     assert run("dart_from_bit") == [(bit, *dart) for bit, dart in enumerate(bits)]
+
+
+def walked(pts, theta, cap, edge, overlap):
+    """(fx, fy) by a plain walk of a plain quadtree over points (id, x, y, mass, radius); model fr."""
+
+    def cell(own, cx, cy, half):
+        mass = sum(p[3] for p in own)
+        com = tuple(sum(p[3] * p[c] for p in own) / mass for c in (1, 2))
+        if len(own) <= cap or half <= quadtree.MIN_HALF:
+            return mass, com, half, own, []
+        kids, h = {}, half / 2
+        for p in own:
+            kids.setdefault((p[1] >= cx, p[2] >= cy), []).append(p)
+        return mass, com, half, None, [cell(k, cx + (h if e else -h), cy + (h if n else -h), h) for (e, n), k in kids.items()]
+
+    xs, ys = [p[1] for p in pts], [p[2] for p in pts]
+    root = cell(pts, (min(xs) + max(xs)) / 2, (min(ys) + max(ys)) / 2, max(max(xs) - min(xs), max(ys) - min(ys)) / 2)
+
+    def force(p, x, y, mass, radii):
+        d = math.hypot(x - p[1], y - p[2])
+        full = edge * edge * math.floor(mass)
+        k = (full * overlap if d - radii <= 0 else full / (d - radii)) / d
+        return np.array([-k * (x - p[1]), -k * (y - p[2])])
+
+    def walk(p, c):
+        mass, com, half, own, kids = c
+        if own is not None:
+            return sum((force(p, u[1], u[2], u[3], p[4] + u[4]) for u in own if u[0] != p[0]), np.zeros(2))
+        if 2 * half < theta * math.hypot(com[0] - p[1], com[1] - p[2]):
+            return force(p, *com, mass, p[4])
+        return sum((walk(p, k) for k in kids), np.zeros(2))
+
+    return {p[0]: walk(p, root) for p in pts}
+
+
+@pytest.mark.parametrize("theta", [0.0, 0.8, 1.7])
+def test_tree_walk_by_blocks_is_the_walk_of_each_body(spark, monkeypatch, theta):
+    """The tree's tables stay in proportion to the bodies, and forces are those of a plain walk."""
+    monkeypatch.setattr(quadtree, "CHUNK", 32)
+    rng, held, put = random.Random(11), [], quadtree.materialise
+    pts = [(k * 3, rng.gauss(0, 1) ** 3, rng.gauss(0, 1), float(1 + k % 3), 0.01) for k in range(400)]
+
+    def counted(df):
+        held.append((out := put(df)).count())
+        return out
+
+    monkeypatch.setattr(quadtree, "materialise", counted)
+    bodies = spark.createDataFrame(pts, "id long, x double, y double, mass double, radius double")
+    got = {r.id: np.array([r.fx, r.fy]) for r in quadtree.repulsion(bodies, forces.MODELS["fr"], 0.1, theta, 100.0).collect()}
+    want = walked(pts, theta, 4, 0.1, 100.0)
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-9) for k in want)
+    assert max(held) <= 8 * len(pts)  # blocks by chunks, not bodies by cells
+
+
+def test_coincident_bodies_of_many_blocks_part(spark, monkeypatch):
+    monkeypatch.setattr(quadtree, "CHUNK", 8)
+    bodies = spark.createDataFrame([(k, 0.5, 0.5, 1.0, 0.0) for k in range(40)] + [(99, 3.0, 4.0, 1.0, 0.0)], "id long, x double, y double, mass double, radius double")
+    tree = {r.id: (r.fx, r.fy) for r in quadtree.repulsion(bodies, forces.MODELS["fr"], 0.3, 0.0, 10.0).collect()}
+    exact = {r.id: (r.fx, r.fy) for r in layout.exact_repulsion(bodies, "fr", 0.3, 10.0).collect()}
+    assert tree.keys() == exact.keys() and all(np.allclose(tree[k], exact[k], rtol=1e-9, atol=1e-9) for k in exact)

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.forces import MODELS, difference, gravity, norm, radius
-from weft.functions.forces import TINY as COINCIDENT
 from weft.functions.geometry import regular_polygon
+from weft.functions.pairs import ROWS_AT_ONCE, Bodies, summed
 from weft.model import Graph, View
 from weft.operators import quadtree
 from weft.plans.session import Session
@@ -121,8 +121,8 @@ def edge_attraction(darts: DataFrame, positions: DataFrame, model: str, edge: fl
     return darts.join(a, "src").join(b, "dst").select(F.col("src").alias("id"), f[0].alias("ax"), f[1].alias("ay")).groupBy("id").agg(F.sum("ax").alias("ax"), F.sum("ay").alias("ay"))
 
 
-#: Bodies of a block of the exact sums, and rows of a block that are paired at a time.
-BLOCK, ROWS_AT_ONCE = 2048, 128
+#: Bodies of a block of the exact sums.
+BLOCK = 2048
 
 
 def exact_repulsion(bodies: DataFrame, model: str, edge: float, overlap: float) -> DataFrame:
@@ -149,47 +149,19 @@ def exact_repulsion(bodies: DataFrame, model: str, edge: float, overlap: float)
 
 
 def _block_forces(r, model: str, edge: float, overlap: float) -> pd.DataFrame:
-    """Forces of a block of bodies u on one of bodies v, as ForceModel.repulsion gives them."""
-    u_weight = edge * edge * np.floor(r.u_mass) if model == "fr" else np.asarray(r.u_mass)
+    """Forces of a block of bodies u on one of bodies v."""
+    v, u = (Bodies(*[getattr(r, f"{side}_{c}") for c in ("id", "x", "y", "mass", "radius")]) for side in "vu")
     ids, out = [], []
-    for at in range(0, len(r.v_id), ROWS_AT_ONCE):
-        rows = slice(at, at + ROWS_AT_ONCE)
-        v_id = r.v_id[rows]
-        dx, dy = r.u_x[None, :] - r.v_x[rows, None], r.u_y[None, :] - r.v_y[rows, None]
-        other = v_id[:, None] != r.u_id[None, :]
-        d = np.sqrt(dx * dx + dy * dy)
-        gap = d - (r.v_radius[rows, None] + r.u_radius[None, :])
-        full = u_weight[None, :] * (1.0 if model == "fr" else r.v_mass[rows, None])
-        touching = gap <= 0
-        size = np.where(touching, full * overlap, full / np.where(touching, 1.0, gap))
-        same = d < COINCIDENT
-        k = np.where(other & ~same, -size / np.where(same, 1.0, d), 0.0)
-        f = np.stack([(k * dx).sum(1), (k * dy).sum(1)], 1)
-        i, j = np.nonzero(same & other)
-        if len(i):  # coincident bodies part along an angle of their ids
-            a, b = v_id[i], r.u_id[j]
-            h = _hash_long(np.maximum(a, b), _hash_long(np.minimum(a, b), np.full(len(a), 42, np.uint64)))
-            angle = (h & np.uint64((1 << 20) - 1)) / float(1 << 20) * 6.283185307179586
-            side = np.where(a <= b, 1.0, -1.0) * size[i, j]
-            np.add.at(f, i, np.stack([np.cos(angle) * side, np.sin(angle) * side], 1))
+    for at in range(0, len(v), ROWS_AT_ONCE):
+        rows = v.take(slice(at, at + ROWS_AT_ONCE))
+        other = rows.id[:, None] != u.id[None, :]
         some = other.any(1)
-        ids.append(v_id[some])
-        out.append(f[some])
+        ids.append(rows.id[some])
+        out.append(summed(rows, u, other, model, edge, overlap)[some])
     f = np.concatenate(out)
     return pd.DataFrame({"id": np.concatenate(ids), "fx": f[:, 0], "fy": f[:, 1]})
 
 
-def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of longs, its hash of the columns before as the seed."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda h, k: (h << np.uint64(k)) | (h >> np.uint64(64 - k))
-    h = (seed + p5 + np.uint64(8)) ^ (turn(x.astype(np.int64).view(np.uint64) * p2, 31) * p1)
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return h ^ (h >> np.uint64(32))
-
-
 def touching(bodies: DataFrame) -> DataFrame:
     """(id, n_touching) of bodies(id, x, y, radius) that touch another.
 
