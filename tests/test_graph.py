@@ -1,5 +1,7 @@
 """Graph model, views, edits, traversal and sources on literal graphs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,3 +336,57 @@ def test_files_are_numbered_at_size(spark, tmp_path):
 def test_carpet_at_size(spark):
     got = gen.carpet_vertices(spark, 6).agg(F.count(F.lit(1)), F.count_distinct("id"), F.max("id")).first()
     assert tuple(got) == (8**6, 8**6, 8**6 - 1)
+
+
+def test_searches_hold_no_row_per_source_and_vertex(spark, monkeypatch):
+    """Searches of several blocks, rounds and windows are queue searches; no table has their vertices."""
+    monkeypatch.setattr(tr, "BLOCK_SOURCES", 20)
+    monkeypatch.setattr(tr, "FIRST_WINDOW", 2)
+    rng, held, put = random.Random(4), [], tr.materialise
+    pairs = [(rng.randrange(60), rng.randrange(60, 120)) for _ in range(400)] + [(130, 131), (131, 131), (131, 1 << 40)]
+    edges = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "o long, src long, dst long")
+    g = Graph.from_edges(edges, None, False, ["o"])
+    lists = {}
+    for r in sorted(g.darts.collect()):
+        lists.setdefault(r.src, []).append(r.dst)
+
+    def counted(df):
+        held.append((out := put(df)).count())
+        return out
+
+    monkeypatch.setattr(tr, "materialise", counted)
+    nearest, within = set(), set()
+    for source in lists:
+        dist, queue = {source: 0}, [source]
+        for v in queue:
+            for u in lists[v]:
+                if u not in dist:
+                    dist[u] = dist[v] + 1
+                    queue.append(u)
+        nearest |= {(source, k + 1, v, dist[v]) for k, v in enumerate([v for v in queue[1:] if v % 7 == 0][:3])}
+        within |= {(source, v, dist[v]) for v in queue[1:] if dist[v] <= 3}
+    every = g.vertices.select("id")
+    assert {tuple(r) for r in tr.k_nearest(g, every, 3, every.where("id % 7 = 0")).collect()} == nearest
+    assert {tuple(r) for r in tr.within_radius(g, every, 3).collect()} == within
+    assert max(held) <= -(-len(lists) // 20) * len(lists) < len(within)  # blocks by vertices, not sources by vertices
+
+
+def test_lifo_takes_packed_lists(spark, monkeypatch):
+    """The one task gets a packed row per vertex, not a row per dart; repeated edges and wide ids included."""
+    rng, asked = random.Random(6), []
+    pairs = [(rng.randrange(40) * (1 << 33), rng.randrange(40, 80)) for _ in range(300)]
+    edges = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs + pairs[:20])], "o long, src long, dst long")
+    g = Graph.from_edges(edges, None, False, ["o"])
+    lists, source = {}, pairs[0][0]
+    for r in sorted(g.darts.collect()):
+        lists.setdefault(r.src, []).append(r.dst)
+    parent, stack = {source: None}, [source]
+    while stack:
+        u = stack.pop()
+        for v in lists[u]:
+            if v not in parent:
+                parent[v] = u
+                stack.append(v)
+    whole = tr._packed_lists
+    monkeypatch.setattr(tr, "_packed_lists", lambda *a: asked.append(a) or whole(*a))
+    assert {r.id: r.parent for r in tr.lifo_tree(g, source).collect()} == parent and len(asked) == 1
