@@ -153,7 +153,7 @@ def test_tree_walk_by_blocks_is_the_walk_of_each_body(spark, monkeypatch, theta)
 
 def test_coincident_bodies_of_many_blocks_part(spark, monkeypatch):
     monkeypatch.setattr(quadtree, "CHUNK", 8)
-    bodies = spark.createDataFrame([(k, 0.5, 0.5, 1.0, 0.0) for k in range(40)] + [(99, 3.0, 4.0, 1.0, 0.0)], "id long, x double, y double, mass double, radius double")
+    bodies = spark.createDataFrame([(k, 0.5, 0.5, 1.0, 0.0) for k in range(40)] + [(99, 0.5 + 8e-9, 0.5, 1.0, 0.0)], "id long, x double, y double, mass double, radius double")
     tree = {r.id: (r.fx, r.fy) for r in quadtree.repulsion(bodies, forces.MODELS["fr"], 0.3, 0.0, 10.0).collect()}
     exact = {r.id: (r.fx, r.fy) for r in layout.exact_repulsion(bodies, "fr", 0.3, 10.0).collect()}
     assert tree.keys() == exact.keys() and all(np.allclose(tree[k], exact[k], rtol=1e-9, atol=1e-9) for k in exact)
