@@ -390,3 +390,15 @@ def test_lifo_takes_packed_lists(spark, monkeypatch):
     whole = tr._packed_lists
     monkeypatch.setattr(tr, "_packed_lists", lambda *a: asked.append(a) or whole(*a))
     assert {r.id: r.parent for r in tr.lifo_tree(g, source).collect()} == parent and len(asked) == 1
+
+
+def test_lifo_checkpoints_no_row_per_dart(spark, monkeypatch):
+    """Neither the search for what is reachable nor the one task holds more than packed lists; other components stay out."""
+    g, made = Graph.of(spark, 9, [(0, 1), (1, 2), (2, 0), (2, 3), (5, 6), (6, 7)]), []
+    keep = tr.materialise
+    monkeypatch.setattr(tr, "materialise", lambda df: made.append(set(df.columns)) or keep(df))
+    assert rows(tr.lifo_tree(g, 0), "id", "parent") == [(0, None), (1, 0), (2, 0), (3, 2)]
+    assert made and not any({"src", "dst"} <= columns for columns in made)
+    assert rows(tr.lifo_tree(g, 8), "id", "parent") == [(8, None)]
+    with pytest.raises(ValueError):
+        tr.lifo_tree(g, 9)
