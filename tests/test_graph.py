@@ -402,3 +402,11 @@ def test_lifo_checkpoints_no_row_per_dart(spark, monkeypatch):
     assert rows(tr.lifo_tree(g, 8), "id", "parent") == [(8, None)]
     with pytest.raises(ValueError):
         tr.lifo_tree(g, 9)
+
+
+def test_lists_are_dealt_by_their_ends_alone(spark):
+    """The exchange of a graph's lists carries no keys of the order beside the ends."""
+    g = Graph.from_edges(spark.createDataFrame([(1, 2), (2, 2), (0, 2)], "src long, dst long"))
+    plan = g.darts._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [src" in plan and "o0" not in plan
+    assert rows(g.darts, "src", "pos", "dst") == [(0, 0, 2), (1, 0, 2), (2, 0, 0), (2, 1, 1), (2, 2, 2), (2, 3, 2)]
