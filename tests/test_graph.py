@@ -410,3 +410,14 @@ def test_lists_are_dealt_by_their_ends_alone(spark):
     plan = g.darts._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [src" in plan and "o0" not in plan
     assert rows(g.darts, "src", "pos", "dst") == [(0, 0, 2), (1, 0, 2), (2, 0, 0), (2, 1, 1), (2, 2, 2), (2, 3, 2)]
+
+
+def test_garbage_of_many_checkpoints_is_collected(spark):
+    from weft.shared import TIDY_EVERY, materialise
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    for _ in range(2 * TIDY_EVERY):
+        materialise(spark.range(1))
+    assert full() >= before + 2
