@@ -197,6 +197,34 @@ def test_centroid_of_k4(spark):
     assert np.allclose(p[3], np.mean([p[k] for k in range(3)], axis=0), atol=1e-4)
 
 
+def test_point_forces_by_expansions_are_the_exact_sums(spark):
+    """Scattered, clustered, coincident and almost coincident bodies; most pairs are never formed."""
+    rng = np.random.default_rng(4)
+    xy = np.concatenate([rng.uniform(-500, 500, (2400, 2)), rng.normal(200, 4, (300, 2)), np.full((40, 2), 7.25), [[90.0, 90.0], [90.0 + 1e-10, 90.0], [90.0, 90.0 + 3e-9]]])
+    rows = [(i, float(x), float(y), float(1 + i % 3), 0.0) for i, (x, y) in enumerate(xy)]
+    bodies = materialise(spark.createDataFrame(rows, "id long, x double, y double, mass double, radius double"))
+    for model in ("fr", "linlog"):
+        got, want = ({r.id: (r.fx, r.fy) for r in df.collect()} for df in (quadtree.point_repulsion(bodies, forces.MODELS[model], 10.0, 100.0, 64), layout.exact_repulsion(bodies, model, 10.0, 100.0)))
+        assert got.keys() == want.keys() and len(got) == len(rows)
+        worst = max(np.hypot(got[i][0] - want[i][0], got[i][1] - want[i][1]) / np.hypot(*want[i]) for i in want)
+        assert worst < 1e-11, worst
+    chunks, cells = quadtree._chunked(bodies, 64)
+    let = quadtree._far_and_near(chunks, cells)
+    n = chunks.select(F.col("path").alias("u_path"), F.size("rows").alias("n"))
+    v = chunks.select(F.col("path").alias("v_path"), F.col("piece").alias("v_piece"), F.size("rows").alias("m"))
+    paired = let.where("near").join(v, ["v_path", "v_piece"]).join(n, F.col("path") == F.col("u_path")).agg(F.sum(F.col("m") * F.col("n"))).first()[0]
+    assert paired < 0.4 * len(rows) ** 2
+
+
+def test_many_points_are_not_paired(spark, monkeypatch):
+    asked, none = [], spark.createDataFrame([], "id long, fx double, fy double")
+    monkeypatch.setattr(layout, "EXPANDED", 3)
+    monkeypatch.setattr(quadtree, "point_repulsion", lambda *a: asked.append(a) or none)
+    for n, radius in ((3, 0.0), (4, 0.0), (4, 0.5)):
+        layout.exact_repulsion(spark.createDataFrame([(i, float(i), 0.0, 1.0, radius) for i in range(n)], "id long, x double, y double, mass double, radius double"), "fr", 1.0, 100.0)
+    assert len(asked) == 1
+
+
 # ---- multilevel ----
 
 

@@ -121,19 +121,24 @@ def edge_attraction(darts: DataFrame, positions: DataFrame, model: str, edge: fl
     return darts.join(a, "src").join(b, "dst").select(F.col("src").alias("id"), f[0].alias("ax"), f[1].alias("ay")).groupBy("id").agg(F.sum("ax").alias("ax"), F.sum("ay").alias("ay"))
 
 
-#: Bodies of a block of the exact sums.
-BLOCK = 2048
+#: Bodies of a block of the exact sums; bodies from which those without a radius are summed by far cells' expansions.
+BLOCK, EXPANDED = 2048, 32_768
 
 
 def exact_repulsion(bodies: DataFrame, model: str, edge: float, overlap: float) -> DataFrame:
-    """(id, fx, fy) from all pairs of bodies(id, x, y, mass, radius): quadratic by definition.
+    """(id, fx, fy) from all pairs of bodies(id, x, y, mass, radius).
 
     Bodies are dealt to blocks by a hash of their ids; every pair of blocks is
-    summed in a task and gives a row per body, so pairs are never rows.
+    summed in a task and gives a row per body, so pairs are never rows.  That
+    is quadratic; more than ``EXPANDED`` bodies, none with a radius, are summed
+    by quadtree.point_repulsion, which agrees within rounding.
     """
     spark = bodies.sparkSession
     own = materialise(bodies.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "mass", "radius")]))
-    n = max(1, -(-own.count() // BLOCK))
+    count, widest = own.agg(F.count(F.lit(1)), F.max(F.abs("radius"))).first()
+    if count > EXPANDED and widest == 0.0:
+        return quadtree.point_repulsion(own, MODELS[model], edge, overlap)
+    n = max(1, -(-count // BLOCK))
     blocks = own.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "x", "y", "mass", "radius")).alias("rows"))
     fields = lambda side: [F.col("block").alias(f"{side}_block"), *[F.col(f"rows.{c}").alias(f"{side}_{c}") for c in ("id", "x", "y", "mass", "radius")]]
     blocks = materialise(blocks)
